@@ -1,0 +1,16 @@
+"""Materialising an intermediate table that several later steps read."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from wheelbase.session import ensure_checkpoint_dir
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write the frame once to the shared checkpoint folder and go on from the copy.
+
+    The copy survives lost executors and cuts the lineage, so later steps do not redo the scans.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
