@@ -51,14 +51,15 @@ def band_join(
     ``items`` needs ``price_min_wan, price_max_wan, body_type, energy_type``; ``requests`` needs
     ``band_low, band_high, want_body, want_energy`` with '' for "any".
     """
-    keys = ["bucket", "want_body", "want_energy"]
+    keys = ["bucket", "key_body", "key_energy"]
     # An item answers requests for its own class and requests for any class.
     either = lambda c: F.explode(F.array_distinct(F.array(F.lit(ANY), F.coalesce(F.col(c), F.lit(ANY)))))
     laid_items = _over_buckets(
-        items.withColumn("want_body", either("body_type")).withColumn("want_energy", either("energy_type")),
+        items.withColumn("key_body", either("body_type")).withColumn("key_energy", either("energy_type")),
         F.col("price_min_wan"), F.col("price_max_wan"),
     ).withColumnRenamed("first_bucket", "item_bucket")
-    laid_requests = _over_buckets(requests, F.col("band_low"), F.col("band_high")).withColumnRenamed(
+    asked = requests.withColumns({"key_body": F.col("want_body"), "key_energy": F.col("want_energy")})
+    laid_requests = _over_buckets(asked, F.col("band_low"), F.col("band_high")).withColumnRenamed(
         "first_bucket", "request_bucket"
     )
 

@@ -16,6 +16,7 @@ from wheelbase import vocab
 from wheelbase.functions.rules import first_match
 from wheelbase.operators.bands import band_join
 from wheelbase.operators.requests import SIGNATURE_FIELDS, signature
+from wheelbase.staging import checkpointed
 
 # What a request can see of an item; items equal in all of these score the same for everybody.
 VISIBLE = (
@@ -86,6 +87,11 @@ def _pairs(items: DataFrame, sigs: DataFrame, ceiling: Column, condition: Column
     return band_join(sold, wanted, accepted, "car_id", "sig")
 
 
+def core_matches(items: DataFrame, sigs: DataFrame) -> DataFrame:
+    """All (item, distinct request) pairs that satisfy the hard conditions under the plain ceiling."""
+    return _pairs(items, sigs, F.col("budget_max_wan")).select("sig", "car_id")
+
+
 def count_matches(items: DataFrame, sigs: DataFrame, policy: vocab.RelaxPolicy = vocab.RelaxPolicy()) -> DataFrame:
     """Per distinct request: core matches, those that also fit brand and/or scenario, and matches
     under the raised ceiling — one conditional aggregate over one join."""
@@ -216,13 +222,15 @@ def template_reason(name: Column | str, labels: Column) -> Column:
     )
 
 
-def decisions(items: DataFrame, requests: DataFrame, policy: vocab.RelaxPolicy = vocab.RelaxPolicy()) -> DataFrame:
-    """Relaxation decisions per distinct request (key ``sig``)."""
-    sigs = distinct_requests(requests)
-    return relax(sigs, count_matches(item_groups(items), sigs, policy), policy)
+def decisions(
+    groups: DataFrame, requests: DataFrame, policy: vocab.RelaxPolicy = vocab.RelaxPolicy(), stage=checkpointed
+) -> DataFrame:
+    """Relaxation decisions per distinct request (key ``sig``) over grouped items."""
+    sigs = stage(distinct_requests(requests))
+    return relax(sigs, count_matches(groups, sigs, policy), policy)
 
 
-def ranked_per_signature(items: DataFrame, decided: DataFrame) -> DataFrame:
+def ranked_per_signature(groups: DataFrame, decided: DataFrame) -> DataFrame:
     """The leading items of every distinct request.
 
     The final candidate set is joined with its filters already decided; each task keeps only its own
@@ -230,7 +238,7 @@ def ranked_per_signature(items: DataFrame, decided: DataFrame) -> DataFrame:
     """
     wanted = decided.select("sig", *SIGNATURE_FIELDS, "ceiling", "keep_brand", "keep_scenario")
     chosen = (~F.col("keep_brand") | _brand_hit()) & (~F.col("keep_scenario") | _scenario_hit())
-    candidates = _pairs(item_groups(items), wanted, F.col("ceiling"), chosen).withColumn("score", weighted_score())
+    candidates = _pairs(groups, wanted, F.col("ceiling"), chosen).withColumn("score", weighted_score())
     order = Window.partitionBy("sig").orderBy(
         F.desc("score"),
         F.coalesce("data_completeness", F.lit(0.0)).desc(),
@@ -254,15 +262,17 @@ def recommend(
     requests: DataFrame,
     policy: vocab.RelaxPolicy = vocab.RelaxPolicy(),
     key: str = "request_id",
-    stage=lambda df: df,
+    stage=checkpointed,
 ) -> tuple[DataFrame, DataFrame]:
     """(ranked rows, one envelope row per request).
 
-    ``stage`` may materialise the decisions (one row per distinct request) between the two passes.
+    The grouped items, the distinct requests and their decisions are each read by several branches, so
+    ``stage`` writes them once; all three are no larger than the catalog or the request table.
     """
     keyed = requests.withColumn("sig", signature())
-    decided = stage(decisions(items, requests, policy))
-    ranked = keyed.select(key, "sig").join(ranked_per_signature(items, decided), "sig").drop("sig")
+    groups = stage(item_groups(items))
+    decided = stage(decisions(groups, requests, policy, stage))
+    ranked = keyed.select(key, "sig").join(ranked_per_signature(groups, decided), "sig").drop("sig")
     verdict = decided.select("sig", "total_candidates", "relaxed_conditions")
     envelope = keyed.join(verdict, "sig").drop("sig")
     return ranked, envelope

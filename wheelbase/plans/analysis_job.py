@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wheelbase import vocab
 from wheelbase.operators import association, evidence, features, models, quality, summary
-from wheelbase.plans.staging import checkpointed
+from wheelbase.staging import checkpointed
 from wheelbase.sources import tables
 
 

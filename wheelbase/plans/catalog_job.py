@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wheelbase import vocab
 from wheelbase.operators import catalog, summary
-from wheelbase.plans.staging import checkpointed
+from wheelbase.staging import checkpointed
 from wheelbase.sources import tables
 
 

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # No Python stack capture per column call: plans of many expressions are built faster.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Sketch aggregates keep a hash map per task instead of sorting their input after 128 groups.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }

@@ -52,13 +52,21 @@ def scan_csv(spark: SparkSession, path: str, schema: str, multiline: bool = Fals
     return spark.read.options(**CSV_OPTIONS, multiLine=multiline).schema(schema).csv(path)
 
 
-def scan_csv_gz(spark: SparkSession, path: str, schema: str, key: str | None = None, multiline: bool = False) -> DataFrame:
-    """A gzip file is one task to read; ``key`` spreads the rows right after the scan.
+def scan_csv_gz(spark: SparkSession, path: str, schema: str, multiline: bool = False) -> DataFrame:
+    """A gzip file is one task to read, so its rows are spread right after the scan.
 
     Spreading by row instead of by key keeps a frequent key from filling one partition.
     """
-    rows = scan_csv(spark, path, schema, multiline)
-    return rows.repartition(F.xxhash64(*rows.columns)) if key else rows
+    return spread_rows(scan_csv(spark, path, schema, multiline))
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has cores (one gzip file, one row group).
+
+    A scan that is already split finely enough is left as it is, so large tables are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def read_tables(spark: SparkSession, folder: str, which: Sequence[str] = tuple(INPUT_FILES)) -> dict[str, DataFrame]:
@@ -71,7 +79,8 @@ def read_tables(spark: SparkSession, folder: str, which: Sequence[str] = tuple(I
         if path_exists(spark, copy):
             wanted[name] = spark.read.schema(schema).parquet(copy)
         elif path_exists(spark, f"{folder}/{file}"):
-            wanted[name] = scan_csv(spark, f"{folder}/{file}", schema, multiline=True)
+            scan = scan_csv_gz if file.endswith(".gz") else scan_csv
+            wanted[name] = scan(spark, f"{folder}/{file}", schema, multiline=True)
         else:
             absent.append(file)
     if absent:

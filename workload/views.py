@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 from wheelbase import vocab
 from wheelbase.functions import rules, text
 from wheelbase.operators import catalog, features, ingest, quality
+from wheelbase.sources.tables import spread_rows
 
+LINE_COLUMNS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+)
 CAPTURED = "2026-07-10"
 ENERGY_TEXTS = ("汽油", "柴油", "纯电动", "插电式混合动力", "增程式电动", "油电混合", "非插电式混合动力", "氢燃料电池", "PHEV")
 STRUCTURES = {"ECONOMY": "两厢车", "LARGE": "三厢车", "MEDIUM": "SUV", "PROMO": "-", "SMALL": "掀背", "STANDARD": " 三厢车 "}
@@ -34,7 +39,7 @@ def text_at(values, index: Column) -> Column:
 
 def sold(spark: SparkSession, sf: str) -> DataFrame:
     """Line items with their part."""
-    return table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return spread_rows(table(spark, sf, "lineitem").select(*LINE_COLUMNS)).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
 
 
 def trim_id() -> Column:
