@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Rational minimax coefficients for erf/erfc (W. J. Cody, Math. Comp. 23, 1969).
@@ -41,11 +41,17 @@ def erfc_nonnegative(x: Column) -> Column:
     )
 
 
-def spearman_p(rho: Column, n: Column) -> Column:
-    """Two-sided p-value by the normal approximation of the correlation's t statistic."""
+def correlation_statistic(rho: Column, n: Column) -> Column:
+    """|rho| as a t statistic over √2, the argument of erfc for the normal approximation."""
     size = F.least(F.abs(rho), F.lit(0.999999))
     statistic = size * F.sqrt(F.greatest(n - 2, F.lit(0)) / F.greatest(1 - size * size, F.lit(1e-12)))
-    return erfc_nonnegative(statistic / F.lit(2.0) ** 0.5)
+    return F.when(rho.isNotNull(), statistic / F.lit(2.0) ** 0.5)
+
+
+def with_spearman_p(df: DataFrame, rho: str, n: str, name: str = "p_value") -> DataFrame:
+    """Add the two-sided p-value.  The argument is its own column, so it is computed once per row."""
+    argued = df.withColumn("_z", correlation_statistic(F.col(rho), F.col(n)))
+    return argued.withColumn(name, erfc_nonnegative(F.col("_z"))).drop("_z")
 
 
 def nan_to_null(value: Column) -> Column:

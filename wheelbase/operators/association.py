@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wheelbase import vocab
-from wheelbase.functions.statistics import spearman_p
+from wheelbase.functions.statistics import with_spearman_p
 from wheelbase.operators.ordering import average_ranks, with_amount_before, with_minimum_from
 
 
@@ -90,10 +90,8 @@ def univariate_associations(
     """(feature_name, n, spearman_rho, p_value, fdr_q_value) over features and numeric controls."""
     pairs = feature_pairs(features, target, controls)
     correlated = spearman(pairs, ["feature_name", "least"], "x", "y", **ranges).filter(F.col("n") >= F.col("least"))
-    tested = correlated.select(
-        "feature_name", "n", F.col("rho").alias("spearman_rho"), spearman_p(F.col("rho"), F.col("n")).alias("p_value")
-    )
-    return fdr_bh(tested, "p_value", **ranges)
+    named = correlated.select("feature_name", "n", F.col("rho").alias("spearman_rho"))
+    return fdr_bh(with_spearman_p(named, "spearman_rho", "n"), "p_value", **ranges)
 
 
 def association_order() -> list:

@@ -34,6 +34,11 @@ def stable_id(key: str) -> str:
     return f"'car_' || substr(sha256({key}), 1, 12)"
 
 
+def half_up(value: str, digits: int) -> str:
+    """Half-up rounding of the decimal text of a double, as Spark rounds doubles."""
+    return f"round(({value})::VARCHAR::DECIMAL(38, 18), {digits})::DOUBLE"
+
+
 def tags(fuel: str = "fuel_consumption") -> str:
     hybrid = f"energy_type IN {in_list(vocab.HYBRID_CLASSES)}"
     return f"""list_filter([
@@ -178,7 +183,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
       WHERE source_key IS NOT NULL AND model_name IS NOT NULL AND brand IS NOT NULL AND brand NOT IN ('', '-', '--')
         AND price_min_wan > 0 AND body_type IS NOT NULL AND energy_type IN {in_list(vocab.ENERGY_CLASSES)}"""),
     "catalog": (("valid_catalog",), f"""
-      SELECT {stable_id('source_key')} AS car_id, *, round((price_min_wan + price_max_wan) / 2, 2) AS price_mid_wan,
+      SELECT {stable_id('source_key')} AS car_id, *, {half_up('(price_min_wan + price_max_wan) / 2', 2)} AS price_mid_wan,
         normalized_heat AS heat_score, {tags()} AS scenario_tags, {COMPLETENESS} AS data_completeness, 'public catalog' AS source
       FROM (SELECT *, CASE WHEN sales > 0 THEN round(ln(sales + 1) / (SELECT max(ln(sales + 1)) FROM valid_catalog WHERE sales > 0), 4) END AS normalized_heat
             FROM valid_catalog)"""),
