@@ -9,10 +9,12 @@ from pyspark.sql import types as T
 
 # Whitespace of any kind, the no-break and the ideographic space included.
 SPACE = r"[\s\p{Z}]"
-# Tags, comments and declarations; a bare "<" followed by no letter is text.
-MARKUP = r"(?s)<!--.*?-->|</?[A-Za-z][^>]*>|<![^>]*>"
+# Scripts, styles, comments, tags and declarations; a bare "<" followed by no letter is text.
+MARKUP = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|</?[a-z][^>]*>|<![^>]*>"
 # One signed number, then an optional unit.
 SINGLE_NUMBER = r"^([-+]?\d+(?:\.\d+)?)\s*(万|%|[A-Za-z]+(?:/[A-Za-z0-9]+)?|公里|小时|秒)?$"
+# Unit separator; whitespace to any text rule, and never the result of decoding an entity.
+JOINER = "\u001f"
 ANY_NUMBER = r"\d+(?:\.\d+)?"
 TRAILING_UNIT = r"\(([^()]*)\)\s*$"
 # The entities that occur in attribute payloads; the ampersand is replaced last.
@@ -59,17 +61,34 @@ def unescape_common(value: Column | str) -> Column:
     return text
 
 
+def _tidy(decoded: Column) -> Column:
+    """Markup dropped, whitespace collapsed, ends trimmed."""
+    untagged = F.when(
+        decoded.contains("<") & decoded.contains(">"), F.regexp_replace(decoded, MARKUP, " ")
+    ).otherwise(decoded)
+    return strip(F.regexp_replace(untagged, f"{SPACE}+", " "))
+
+
 def clean_text(value: Column | str, entities: str = "all") -> Column:
     """Entities decoded, tags dropped, whitespace collapsed, ends trimmed; NULL becomes ''.
 
     ``entities='common'`` keeps the whole expression in JVM code.
     """
     text = F.coalesce(_col(value), F.lit(""))
-    decoded = unescape_entities(text) if entities == "all" else unescape_common(text)
-    untagged = F.when(
-        decoded.contains("<") & decoded.contains(">"), F.regexp_replace(decoded, MARKUP, " ")
-    ).otherwise(decoded)
-    return strip(F.regexp_replace(untagged, f"{SPACE}+", " "))
+    return _tidy(unescape_entities(text) if entities == "all" else unescape_common(text))
+
+
+def clean_texts(values: Column, entities: str = "all") -> Column:
+    """``clean_text`` of every member of an array.
+
+    The members travel to Python as one text per row, joined by a control character that counts as
+    whitespace and is therefore replaced by a space inside members first.
+    """
+    members = F.transform(values, lambda v: F.replace(F.coalesce(v, F.lit("")), F.lit(JOINER), F.lit(" ")))
+    if entities == "common":
+        return F.transform(members, lambda v: _tidy(unescape_common(v)))
+    parts = F.split(unescape_entities(F.array_join(members, JOINER)), JOINER)
+    return F.when(F.size(values) > 0, F.transform(parts, _tidy)).otherwise(F.array().cast("array<string>"))
 
 
 def split_unit(name: Column | str) -> tuple[Column, Column]:

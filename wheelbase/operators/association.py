@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wheelbase import vocab
 from wheelbase.functions.statistics import with_spearman_p
 from wheelbase.operators.ordering import average_ranks, with_amount_before, with_minimum_from
+from wheelbase.staging import checkpointed
 
 
 def pearson(df: DataFrame, group: Sequence[str], x: str, y: str, weight: str | None = None) -> DataFrame:
@@ -85,13 +86,16 @@ def feature_pairs(features: DataFrame, target: DataFrame, controls: DataFrame |
 
 
 def univariate_associations(
-    features: DataFrame, target: DataFrame, controls: DataFrame | None = None, **ranges: int
+    features: DataFrame, target: DataFrame, controls: DataFrame | None = None, stage=checkpointed, **ranges: int
 ) -> DataFrame:
-    """(feature_name, n, spearman_rho, p_value, fdr_q_value) over features and numeric controls."""
+    """(feature_name, n, spearman_rho, p_value, fdr_q_value) over features and numeric controls.
+
+    The correlations (one row per feature) are written once; the adjustment reads them several times.
+    """
     pairs = feature_pairs(features, target, controls)
     correlated = spearman(pairs, ["feature_name", "least"], "x", "y", **ranges).filter(F.col("n") >= F.col("least"))
     named = correlated.select("feature_name", "n", F.col("rho").alias("spearman_rho"))
-    return fdr_bh(with_spearman_p(named, "spearman_rho", "n"), "p_value", **ranges)
+    return fdr_bh(stage(with_spearman_p(named, "spearman_rho", "n")), "p_value", **ranges)
 
 
 def association_order() -> list:

@@ -34,26 +34,31 @@ def _link(template: str, key: Column) -> Column:
 def parse_payloads(responses: DataFrame, body: str = "body") -> DataFrame:
     """Parse ``(series_id, body)``; ``problem`` names what is wrong, NULL for a usable payload.
 
-    A payload whose ``ret`` is not ``ok`` is usable and simply has no items.
+    A payload whose ``ret`` is not ``ok`` is usable and simply has no items.  The closer look runs only
+    for documents the typed parse complains about.
     """
     document = F.col(body)
-    is_object = F.ltrim(document).startswith("{") & (F.try_parse_json(document).isNotNull())
-    payload = F.from_json(document, schemas.OPTIONS_PAYLOAD)
+    schema = schemas.OPTIONS_PAYLOAD + ", broken string"
+    parsed = F.from_json(document, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    # A one-element generator: filters on the parsed value stay above it, so each document is parsed once.
+    once = responses.select("series_id", F.col(body).alias("_body"), F.inline(F.array(F.struct(parsed.alias("payload")))))
+    document, payload = F.col("_body"), F.col("payload")
 
     def misshapen(path: str, opening: str) -> Column:
-        part = F.get_json_object(document, path)
-        return F.coalesce(~part.startswith(opening), F.lit(False))
+        return F.coalesce(~F.get_json_object(document, path).startswith(opening), F.lit(False))
 
-    bad_data = (F.col("payload.ret") == "ok") & (
+    unreadable = F.coalesce(~F.ltrim(document).startswith("{"), F.lit(True)) | (
+        payload["broken"].isNotNull() & F.try_parse_json(document).isNull()
+    )
+    bad_shape = payload["broken"].isNotNull() & (
         misshapen("$.data", "{") | misshapen("$.data.arrCar", "[") | misshapen("$.data.arrConfig", "{")
     )
-    return responses.withColumns({"payload": F.when(is_object, payload), "_object": is_object}).select(
-        "series_id",
-        F.when((F.col("payload.ret") == "ok") & ~bad_data, F.col("payload.data")).alias("data"),
-        F.when(~F.coalesce("_object", F.lit(False)), "load-options")
-        .when(bad_data, "parse-options")
-        .alias("problem"),
+    accepted = F.coalesce(payload["ret"] == "ok", F.lit(False))
+    judged = F.struct(
+        F.when(accepted, payload["data"]).alias("data"),
+        F.when(unreadable, "load-options").when(accepted & bad_shape, "parse-options").alias("problem"),
     )
+    return once.select("series_id", F.inline(F.array(judged)))
 
 
 def _items(data: Column) -> Column:
@@ -70,15 +75,15 @@ def explode_trims(
     rows = payloads.filter(F.col("problem").isNull()).select(
         "series_id", F.explode(_items(F.col("data"))).alias("item")
     )
-    key = text.strip(F.col("item.car_id"))
-    cleaned = [
-        text.clean_text(F.col(f"item.{member}"), entities).alias(name) for name, member in TRIM_MEMBERS.items()
-    ]
-    return rows.select(
-        key.alias("trim_id"),
+    members = F.array(*[F.col(f"item.{member}") for member in TRIM_MEMBERS.values()])
+    cleaned = rows.select(
+        "series_id", text.strip(F.col("item.car_id")).alias("trim_id"), text.clean_texts(members, entities).alias("texts")
+    )
+    return cleaned.select(
+        "trim_id",
         "series_id",
-        *cleaned,
-        _link(links.trim, key).alias("options_url"),
+        *[F.col("texts")[position].alias(name) for position, name in enumerate(TRIM_MEMBERS)],
+        _link(links.trim, F.col("trim_id")).alias("options_url"),
         F.lit(captured_at).alias("captured_at"),
     )
 
@@ -100,21 +105,23 @@ def _parameter_lists(payloads: DataFrame) -> DataFrame:
 def explode_parameters(payloads: DataFrame, captured_at: str, entities: str = "all") -> DataFrame:
     """Group, name and the i-th value paired with the i-th item; short lists are padded with ''.
 
-    Names are cleaned once per list, before the list is paired with the items.
+    Names and values are cleaned once per list, before the list is paired with the items.
     """
-    named = _parameter_lists(payloads).select(
+    lists = _parameter_lists(payloads)
+    texts = text.clean_texts(F.concat(F.array("raw_group", "raw_name"), F.col("cells")), entities)
+    paired = lists.select("series_id", "group_id", "cells", "trim_ids", texts.alias("texts")).select(
+        "series_id", "group_id", "cells", "texts", F.posexplode("trim_ids").alias("position", "trim_id")
+    )
+    named = paired.select(
+        "trim_id",
         "series_id",
         "group_id",
-        text.clean_text("raw_group", entities).alias("group_name"),
-        text.clean_text("raw_name", entities).alias("parameter_name"),
-        "trim_ids",
-        "cells",
+        F.col("texts")[0].alias("group_name"),
+        F.col("texts")[1].alias("parameter_name"),
+        F.coalesce(F.get("cells", F.col("position")), F.lit("")).alias("value_raw"),
+        F.coalesce(F.get("texts", F.col("position") + 2), F.lit("")).alias("value_text"),
     )
-    paired = named.select(
-        "series_id", "group_id", "group_name", "parameter_name", "cells",
-        F.posexplode("trim_ids").alias("position", "trim_id"),
-    ).withColumn("value_raw", F.coalesce(F.get("cells", F.col("position")), F.lit("")))
-    return decode_values(paired.withColumn("value_text", text.clean_text("value_raw", entities))).select(
+    return decode_values(named).select(
         "trim_id",
         "series_id",
         text.parameter_key("group_id", "group_name", "parameter_name").alias("parameter_key"),
