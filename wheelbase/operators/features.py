@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wheelbase import vocab
 from wheelbase.operators import summary
+from wheelbase.staging import checkpointed
 
 
 def equipment_code() -> Column:
@@ -44,15 +45,24 @@ def build_features(attributes: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def build_controls(attributes: DataFrame, trims: DataFrame) -> DataFrame:
-    """Per series: four categorical and three numeric controls, all keyed by series.
+    """Per series: four categorical and three numeric controls.
 
-    The named attributes come from one filtered scan; brand and level share one mode aggregation.
+    All four modes come from one long (series, control, value) count, and every side is grouped by
+    series, so the joins need no further shuffle.
     """
-    named = attributes.filter(F.col("parameter_name").isin(vocab.PARAM_BRAND, vocab.PARAM_LEVEL))
-    modes = summary.mode_by_key(named, ["series_id", "parameter_name"], "value_text", "mode_value")
+    columns = {"energy_type_raw": "energy_type", "body_structure": "body_structure"}
+    named = {vocab.PARAM_BRAND: "brand", vocab.PARAM_LEVEL: "level_name"}
+    from_trims = trims.select(
+        "series_id",
+        F.inline(F.array(*[F.struct(F.lit(c).alias("control"), F.col(s).alias("value")) for s, c in columns.items()])),
+    )
+    control = F.create_map(*[F.lit(part) for pair in named.items() for part in pair])[F.col("parameter_name")]
+    from_attributes = attributes.filter(F.col("parameter_name").isin(*named)).select(
+        "series_id", control.alias("control"), F.col("value_text").alias("value")
+    )
+    modes = summary.mode_by_key(from_trims.unionByName(from_attributes), ["series_id", "control"], "value", "mode_value")
     labels = modes.groupBy("series_id").agg(
-        F.max(summary.pick("parameter_name", vocab.PARAM_BRAND, "mode_value")).alias("brand"),
-        F.max(summary.pick("parameter_name", vocab.PARAM_LEVEL, "mode_value")).alias("level_name"),
+        *[F.max(summary.pick("control", c, "mode_value")).alias(c) for c in vocab.CATEGORICAL_CONTROLS]
     )
     price = (
         attributes.filter((F.col("parameter_name") == vocab.PARAM_PRICE) & F.col("value_numeric").isNotNull())
@@ -62,11 +72,7 @@ def build_controls(attributes: DataFrame, trims: DataFrame) -> DataFrame:
     sizes = trims.groupBy("series_id").agg(
         F.countDistinct("trim_id").alias("trim_count"), F.max("model_year").alias("model_year_max")
     )
-    energy = summary.mode_by_key(trims, ["series_id"], "energy_type_raw", "energy_type")
-    body = summary.mode_by_key(trims, ["series_id"], "body_structure", "body_structure")
-    star = sizes
-    for side in (labels, energy, body, price):
-        star = star.join(side, "series_id", "left")
+    star = sizes.join(labels, "series_id", "left").join(price, "series_id", "left")
     return star.select("series_id", *vocab.CATEGORICAL_CONTROLS, *vocab.NUMERIC_CONTROLS)
 
 
@@ -138,12 +144,13 @@ def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def build_analysis_dataset(
-    features: DataFrame, controls: DataFrame, target: DataFrame, names: Sequence[str], impute: bool = True
+    features: DataFrame, controls: DataFrame, target: DataFrame, names: Sequence[str], impute: bool = True, stage=checkpointed
 ) -> DataFrame:
     """Target ⋈ controls ⟕ wide features, categories filled, numbers imputed.
 
-    ``impute=False`` leaves the numbers open, for models that fit their own imputer per fold.
+    ``impute=False`` leaves the numbers open, for models that fit their own imputer per fold.  The
+    medians need a pass over the joined rows, so these are written once before they are filled.
     """
     wide = pivot_features(features.filter(F.col("feature_name").isin(*names)), names)
     joined = fill_categories(target.join(controls, "series_id").join(wide, "series_id", "left"))
-    return impute_median(joined, [*vocab.NUMERIC_CONTROLS, *names]) if impute else joined
+    return impute_median(stage(joined), [*vocab.NUMERIC_CONTROLS, *names]) if impute else joined

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # No Python stack capture per column call: plans of many expressions are built faster.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Checkpoint files go away with the frames that use them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Sketch aggregates keep a hash map per task instead of sorting their input after 128 groups.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }
