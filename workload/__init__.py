@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("recommend_checks", "catalog_checks", "analysis_checks", "ingest_checks")
+GROUPS = ("recommend_checks", "catalog_checks", "analysis_checks", "ingest_checks", "source_checks")
 
 
 def all_checks():

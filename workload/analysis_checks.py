@@ -156,13 +156,10 @@ def median_impute(spark, sf):
 
 
 @check("column_medians", with_ctes(("features",), """
-SELECT feature_name, count(*) AS n_series FROM features GROUP BY 1"""))
+SELECT feature_name, round(quantile_disc(feature_value, 0.5), 6) AS median_value FROM features GROUP BY 1"""))
 def column_medians(spark, sf):
-    long = checkpointed(views.long_features(spark, sf))
-    medians = features.feature_medians(long)
-    counts = long.groupBy("feature_name").agg(F.count("*").alias("n_series"))
-    # The sketch's median itself is compared on the smaller groups of median_impute.
-    return medians.join(counts, "feature_name").filter(F.col("median_value").isNotNull()).select("feature_name", "n_series")
+    medians = features.feature_medians(views.long_features(spark, sf))
+    return medians.withColumn("median_value", F.round("median_value", 6))
 
 
 # ------------------------------------------------------------------ statistics
@@ -230,7 +227,7 @@ def described(spark, sf):
 @check("univariate_all", with_ctes(("associations",), """
 SELECT feature_name, n, round(spearman_rho, 6) AS spearman_rho, round(p_value, 6) AS p_value, round(fdr_q_value, 6) AS fdr_q_value FROM associations"""))
 def univariate_all(spark, sf):
-    rows = described(spark, sf)["associations"]
+    rows = described(spark, sf)["associations"].orderBy(*association.association_order())
     return rows.select(
         "feature_name", "n", *[F.round(c, 6).alias(c) for c in ("spearman_rho", "p_value", "fdr_q_value")]
     )
@@ -311,6 +308,15 @@ def importance(spark, sf):
     return models.feature_importance(data, names)
 
 
+@check("importance_table")
+def importance_table(spark, sf):
+    data, names = model_data(spark, sf)
+    classified = views.classified(spark, sf)
+    chosen = classified.filter(F.col("feature_name").isin(*names)).select("feature_name")
+    table = models.importance_table(chosen, classified, models.feature_importance(data, names))
+    return table.orderBy(F.desc("random_forest_importance"), "feature_name")
+
+
 # ------------------------------------------------------------------ evidence
 # Signals with a known spread, derived from the parts: correlation, adjusted p-value and coefficient.
 SIGNAL_SQL = f"""signals AS (
