@@ -54,11 +54,11 @@ def unescape_entities(value: Column | str) -> Column:
 
 
 def unescape_common(value: Column | str) -> Column:
-    """Decode the entities known to occur, without leaving the JVM."""
-    text = _col(value)
+    """Decode the entities known to occur, without leaving the JVM; most texts hold none."""
+    text = decoded = _col(value)
     for entity, character in COMMON_ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return text
+        decoded = F.replace(decoded, F.lit(entity), F.lit(character))
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 def _tidy(decoded: Column) -> Column:
@@ -66,7 +66,8 @@ def _tidy(decoded: Column) -> Column:
     untagged = F.when(
         decoded.contains("<") & decoded.contains(">"), F.regexp_replace(decoded, MARKUP, " ")
     ).otherwise(decoded)
-    return strip(F.regexp_replace(untagged, f"{SPACE}+", " "))
+    # After the collapse only plain single spaces are left at the ends.
+    return F.trim(F.regexp_replace(untagged, f"{SPACE}+", " "))
 
 
 def clean_text(value: Column | str, entities: str = "all") -> Column:
@@ -91,13 +92,16 @@ def clean_texts(values: Column, entities: str = "all") -> Column:
     return F.when(F.size(values) > 0, F.transform(parts, _tidy)).otherwise(F.array().cast("array<string>"))
 
 
+def trailing_unit(name: Column | str) -> Column:
+    """Text of the brackets at the end of a name, '' without them."""
+    return F.trim(F.regexp_extract(_col(name), TRAILING_UNIT, 1))
+
+
 def split_unit(name: Column | str) -> tuple[Column, Column]:
     """``最高车速(km/h)`` gives name and unit; a name without trailing brackets is kept as it is."""
     text = _col(name)
-    has_unit = text.rlike(TRAILING_UNIT)
-    bare = F.when(has_unit, strip(F.regexp_replace(text, TRAILING_UNIT, ""))).otherwise(text)
-    unit = F.when(has_unit, strip(F.regexp_extract(text, TRAILING_UNIT, 1))).otherwise(F.lit(""))
-    return bare, unit
+    bare = F.when(text.rlike(TRAILING_UNIT), strip(F.regexp_replace(text, TRAILING_UNIT, ""))).otherwise(text)
+    return bare, trailing_unit(text)
 
 
 def single_number_text(value: Column | str) -> Column:
@@ -105,12 +109,16 @@ def single_number_text(value: Column | str) -> Column:
 
 
 def single_number_unit(value: Column | str) -> Column:
-    return F.regexp_extract(_col(value), SINGLE_NUMBER, 2)
+    """What follows the number of a text that is exactly one number; the pattern is matched only once."""
+    number = single_number_text(value)
+    rest = F.ltrim(F.substr(_col(value), F.length(number) + 1))
+    return F.when(number != "", rest).otherwise(F.lit(""))
 
 
 def parse_single_number(value: Column | str) -> tuple[Column, Column]:
     """Number and unit of a text that is exactly one number; composite values give NULL and ''."""
-    return single_number_text(value).try_cast("double"), single_number_unit(value)
+    # Blank becomes NULL before the cast: a failing cast is far slower than a NULL.
+    return nullify_blank(single_number_text(value)).try_cast("double"), single_number_unit(value)
 
 
 def first_number(value: Column | str, strip_separators: bool = True) -> Column:
@@ -118,7 +126,7 @@ def first_number(value: Column | str, strip_separators: bool = True) -> Column:
     text = _col(value)
     if strip_separators:
         text = F.regexp_replace(text, r"(\d),(?=\d{3}(?:\D|$))", "$1")
-    return F.regexp_extract(text, ANY_NUMBER, 0).try_cast("double")
+    return nullify_blank(F.regexp_extract(text, ANY_NUMBER, 0)).try_cast("double")
 
 
 def number_range(value: Column | str) -> tuple[Column, Column]:
@@ -148,7 +156,7 @@ def parameter_key(group_id: Column | str, group_name: Column | str, name: Column
 
 def last_digit_in_range(value: Column | str, digits: str = "2-9") -> Column:
     """Last digit of the given class in a free text such as ``●5/7``."""
-    return F.regexp_extract(_col(value), f"([{digits}])[^{digits}]*$", 1).try_cast("int")
+    return nullify_blank(F.regexp_extract(_col(value), f"([{digits}])[^{digits}]*$", 1)).try_cast("int")
 
 
 def inferred_series_name(name: Column | str, key: Column | str, first_trim_name: Column | str) -> Column:

@@ -140,7 +140,7 @@ def explode_parameters(payloads: DataFrame, captured_at: str, entities: str = "a
 def decode_values(rows: DataFrame) -> DataFrame:
     """``value_text`` to number, unit (own unit first, then the declared one) and equipment state."""
     number, unit = text.parse_single_number("value_text")
-    declared = text.split_unit("parameter_name")[1]
+    declared = text.trailing_unit("parameter_name")
     return rows.withColumns(
         {
             "value_numeric": number,
@@ -155,7 +155,7 @@ def parameter_definitions(parameters: DataFrame) -> DataFrame:
     distinct = parameters.select("parameter_key", "group_id", "group_name", "parameter_name").dropDuplicates(
         ["parameter_key"]
     )
-    return distinct.withColumn("declared_unit", text.split_unit("parameter_name")[1])
+    return distinct.withColumn("declared_unit", text.trailing_unit("parameter_name"))
 
 
 # ------------------------------------------------------------------ HTML pages
