@@ -102,7 +102,7 @@ def association_order() -> list:
     return [F.asc_nulls_last("fdr_q_value"), F.abs(F.col("spearman_rho")).desc_nulls_last(), F.asc("feature_name")]
 
 
-def significance_counts(associations: DataFrame, selected_column: str | None = None, level: float = 0.05) -> DataFrame:
+def significance_counts(associations: DataFrame, level: float = 0.05) -> DataFrame:
     """Tested features and those strictly below the level."""
     return associations.agg(
         F.count("*").alias("tested"),

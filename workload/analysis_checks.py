@@ -10,7 +10,7 @@ from wheelbase.operators import association, evidence, features, models, orderin
 from wheelbase.plans import analysis_job
 from wheelbase.staging import checkpointed
 from workload import views
-from workload.ctes import by_type, erfc, half_up, with_ctes
+from workload.ctes import erfc, with_ctes
 from workload.registry import check
 
 # ------------------------------------------------------------------ quality

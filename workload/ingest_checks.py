@@ -9,7 +9,7 @@ from wheelbase.functions import text
 from wheelbase.operators import ingest
 from wheelbase.sources.tables import spread_rows
 from workload import views
-from workload.ctes import NUMBER_PATTERN, STATE, half_up, with_ctes
+from workload.ctes import NUMBER_PATTERN, STATE, with_ctes
 from workload.registry import check
 
 MARKUP_SQL = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|</?[a-z][^>]*>|<![^>]*>"
