@@ -7,7 +7,7 @@
 3. Bins form bands; equal bands are a bucket. The number of bands follows from the threshold, so that a pair at the threshold is missed
    with a chance below ``MISS``.
 4. In each bucket centres are linked with the other members (a star), never all members with each other. Links are checked on the
-   full sets. Buckets that still hold several components get further centres, twice as many in every round, until each bucket is one component
+   full sets. Buckets that still hold several components get further centres, eight times as many in every round, until each bucket is one component
    or every member has been a centre: so no link inside a bucket is lost, and a group around one original takes two or three rounds.
 """
 
@@ -75,66 +75,91 @@ def signatures(docs: DataFrame, k: int, threshold: float, rows: int = ROWS_PER_B
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b) with 100 * intersection >= percent * union, counted on the full sets of both texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # One text per id: repeated rows must not multiply pairs.
-    held = stored(docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+def intersections(pairs: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """(a, b, both, union): sizes counted on the full sets of both texts; ``held`` has one text per id."""
 
     def check(batches):
         for whole in batches:
             for left in pieces(whole, "text_a", 1_000_000):
-                keep, at = [], 0
+                common, union, at = [], [], 0
                 for batch in pieces(left, "text_b", 1_000_000):
                     one = Words(left.column("text_a").slice(at, batch.num_rows)).sets(k)
                     at += batch.num_rows
                     for x, y in zip(one, Words(batch.column("text_b")).sets(k)):
-                        both = np.concatenate([x, y])
-                        union = len(np.unique(both))
-                        keep.append(union > 0 and 100 * (len(both) - union) >= percent * union)
-                yield left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                        union.append(len(np.unique(np.concatenate([x, y]))))
+                        common.append(len(x) + len(y) - union[-1])
+                yield pa.record_batch({"a": left.column("a"), "b": left.column("b"), "both": pa.array(common, pa.int64()), "union": pa.array(union, pa.int64())})
 
     both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, both long, union long")
+
+
+def private_counts(held: DataFrame, k: int) -> DataFrame:
+    """(rep, private): how many of each text's shingles occur in none of the other texts. Counting combines before the shuffle."""
+
+    def cut(batches):
+        for whole in batches:
+            for batch in pieces(whole):
+                sets = Words(batch.column("text")).sets(k)
+                yield pa.record_batch({"rep": batch.column("doc_id"), "shingles": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
+
+    cut_ = held.mapInArrow(cut, "rep long, shingles array<long>")
+    alone = cut_.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).filter("n = 1")
+    return alone.groupBy("rep").agg(F.count("*").alias("private"))
 
 
 def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, component) of all representatives with a link; ``sets`` holds one row (rep, n, bands) per distinct set."""
+    """(node, component) of all representatives with a link; ``sets`` holds one row (rep, n, bands) per distinct set.
+
+    Two exact upper bounds keep pairs out before any text is compared. A shingle that no other candidate holds is private, so two sets share at most
+    the smaller n - private. And once all members of a bucket are compared with its pivot, two of them share at most the smaller intersection with
+    the pivot plus the smaller rest that is neither the pivot's nor private. Neither bound can lose a link.
+    """
     members = sets.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    active = stored(members.join(shared, "bucket").withColumn("used", F.lit(False)))
-    found, tried, labels, centres = None, None, None, 1
+    active = stored(members.join(shared, "bucket"))
+    reps = active.select(F.col("rep").alias("doc_id")).distinct()
+    held = stored(docs.join(reps, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+    active = active.join(private_counts(held, k), "rep", "left").select("bucket", "rep", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("common"))
+    active = active.filter(100 * F.col("common") >= percent * F.col("n"))
+    several = active.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
+    active = active.join(several, "bucket", "left_semi").select("*", F.lit(False).alias("used"), F.col("rep").alias("component"), F.lit(None).cast("long").alias("pivot"))
+    active = stored(active)
+    found, tried, labels, wave = None, None, None, 0
     while not active.isEmpty():
-        # Centres: those with most links so far (the original of a group), then the smallest.
-        degree = None if found is None else found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-        ranked = active.filter("not used").select("bucket", "rep")
-        ranked = ranked.withColumn("degree", F.lit(0)) if degree is None else ranked.join(degree, "rep", "left")
-        ranked = ranked.select("bucket", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("rep")).alias("less")).alias("rank"))
-        chosen = _largest(ranked, centres)
-        chosen = stored(chosen.select("bucket", (-F.col("rank.less")).alias("centre")))
-        size = active.select("rep", F.col("n")).distinct()
-        comp = active.select(F.col("rep"), F.col("component")).distinct() if labels is not None else None
-        pairs = active.join(chosen, "bucket").filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        # A set far shorter than the other one cannot reach the threshold.
-        pairs = pairs.join(size.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-        pairs = pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-        if comp is not None:
-            pairs = pairs.join(comp.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a").join(comp.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b").filter("ca <> cb").select("a", "b")
+        # Centres: those with most links so far (the original of a group), then the smallest. One in the first two waves, the pivots; then 8, 64, ...
+        ranked = active.filter("not used").select("bucket", "rep", "n", "common", "component", "pivot")
+        if found is None:
+            ranked = ranked.withColumn("degree", F.lit(0))
+        else:
+            ranked = ranked.join(found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree")), "rep", "left")
+        ranked = ranked.select("bucket", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("rep")).alias("less"), "n", "common", "component", "pivot").alias("rank"))
+        chosen = _largest(ranked, 8 ** max(0, wave - 1)).select("bucket", (-F.col("rank.less")).alias("centre"), *[F.col(f"rank.{c}").alias(f"{c}_c") for c in ("n", "common", "component", "pivot")])
+        most = F.least("common", "common_c", F.least("pivot", "pivot_c") + F.least(F.col("common") - F.col("pivot"), F.col("common_c") - F.col("pivot_c")))
+        most = F.when(F.col("pivot").isNotNull() & F.col("pivot_c").isNotNull(), most).otherwise(F.least("common", "common_c"))
+        pairs = active.join(chosen, "bucket").filter("rep <> centre").filter(100 * most >= percent * (F.col("n") + F.col("n_c") - most))
+        if wave > 1:
+            pairs = pairs.filter("component <> component_c")
+        pairs = pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+        if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        good = stored(confirmed(pairs, docs, k, percent))
-        tried = pairs if tried is None else stored(tried.unionByName(pairs))
-        new = not good.isEmpty()
-        found = good if found is None else stored(found.unionByName(good)) if new else found
-        if labels is None or new:
+        measured = stored(intersections(pairs, held, k))
+        good = measured.filter(100 * F.col("both") >= percent * F.col("union")).select("a", "b")
+        tried = measured.select("a", "b", "both") if tried is None else stored(tried.unionByName(measured.select("a", "b", "both")))
+        if labels is None or not good.isEmpty():
+            found = good if found is None else stored(found.unionByName(good))
             labels = components(found)
         used = chosen.select("bucket", F.col("centre").alias("rep"), F.lit(True).alias("now"))
-        state = active.select("bucket", "rep", "n", "used").join(used, ["bucket", "rep"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        state = stored(state.select("bucket", "rep", "n", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"), F.coalesce("component", "rep").alias("component")))
+        state = active.drop("component").join(used, ["bucket", "rep"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        state = state.select("bucket", "rep", "n", "common", "pivot", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"), F.coalesce("component", "rep").alias("component"))
+        if wave == 1:
+            near = state.join(chosen.select("bucket", "centre"), "bucket").select(*state.columns, "centre", F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
+            state = near.join(tried, ["a", "b"], "left").select(*[c for c in state.columns if c != "pivot"], F.when(F.col("rep") == F.col("centre"), F.col("n")).otherwise(F.col("both")).alias("pivot"))
+        state = stored(state)
         open_ = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if(~F.col("used")).alias("left"))
         # One unused member has met all others, as centres of its bucket.
         active = stored(state.join(open_.filter("low < high and left > 1").select("bucket"), "bucket", "left_semi"))
-        centres *= 2
+        wave += 1
     return labels if labels is not None else docs.sparkSession.createDataFrame([], "node long, component long")
 
 
