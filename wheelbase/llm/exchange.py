@@ -67,13 +67,13 @@ def ask(batches: DataFrame, replies: DataFrame | None, make: Callable[[int, byte
     """Requests of all batches. ``make`` gets a batch's number and body and the replies to it by shard, and gives (shard, arrays)."""
 
     def one(number: int, body: bytes, got: dict[int, Arrays]) -> pa.Table:
-        return rows([(number, shard, pack(arrays)) for shard, arrays in make(number, body, got)])
+        return rows([(number, shard, pack(arrays)) for shard, arrays in make(number, body, got)] if body else [])
 
     return visit(batches, replies, one, REQUEST)
 
 
 def visit(batches: DataFrame, replies: DataFrame | None, make: Callable[[int, bytes, dict[int, Arrays]], pa.Table], schema: str) -> DataFrame:
-    """Rows made from each batch and the replies to it."""
+    """Rows made from each batch and the replies to it; ``make`` gets an empty body for replies that belong to no batch (side results)."""
     if replies is None:
 
         def alone(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
