@@ -56,28 +56,56 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1:n])
 
 
-def parse(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Phrases of a batch: first window, number of windows, trigger fingerprint, phrase fingerprint."""
+def parse(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases of a batch: first window, number of windows, place of the trigger."""
     none = np.zeros(0, np.int64)
     valid = np.zeros(len(data) + 1, bool)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         valid[a:max(a, b - length + 1)] = True
     start = np.flatnonzero(valid)
     if not len(start):
-        return none, none, none.astype(U), none.astype(U)
+        return none, none, none
     gram = min(GRAM, length)
-    sums = prefix_sums(data)
     at = np.arange(len(data) - gram + 1)
-    grams = fingerprints(sums, at, at + gram)
+    grams = fingerprints(prefix_sums(data), at, at + gram)
     # Ties go to the earlier place, which is the same one in equal windows.
     least = sliding_least(grams >> U(24) << U(24) | at.astype(U), length - gram + 1)
     trigger = (least[start] & U(2**24 - 1)).astype(np.int64)
     new = np.r_[True, (trigger[1:] != trigger[:-1]) | (start[1:] != start[:-1] + 1)]
-    first = start[new]
-    count = np.diff(np.r_[np.flatnonzero(new), len(start)])
-    where = trigger[new]
-    phrase = fingerprints(sums, first, first + count - 1 + length)
-    return first, count, grams[where], mix(phrase + (where - first).astype(U) * U(0x9E3779B97F4A7C15))
+    return start[new], np.diff(np.r_[np.flatnonzero(new), len(start)]), trigger[new]
+
+
+class Parsed:
+    """A batch with its phrases; fingerprints are worked out again when they are asked for, which is cheaper than to store them."""
+
+    def __init__(self, body: bytes, length: int):
+        x = unpack(body)
+        self.ids, self.data, self.offsets, self.length = x["ids"], x["data"], x["offsets"].astype(np.int64), length
+        self.first = np.cumsum(x["step"].astype(np.int64))
+        self.count = x["count"].astype(np.int64)
+        self.where = self.first + x["place"].astype(np.int64)
+        self.sums = prefix_sums(self.data)
+        self.trigger = fingerprints(self.sums, self.where, self.where + min(GRAM, length))
+
+    def shard(self, shards: int) -> np.ndarray:
+        return (mix(self.trigger) % U(shards)).astype(np.int64)
+
+    def phrase(self) -> np.ndarray:
+        whole = fingerprints(self.sums, self.first, self.first + self.count - 1 + self.length)
+        return mix(whole + (self.where - self.first).astype(U) * U(0x9E3779B97F4A7C15))
+
+    def flags(self, got: dict, shards: int) -> np.ndarray:
+        out = np.zeros(len(self.first), np.uint8)
+        for shard, _, places in spread(self.shard(shards), {}) if len(out) else ():
+            out[places] = got[shard]["flags"]
+        return out
+
+    def suffixes(self, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprints of all windows of the phrases to be matched, their starts, and whether the phrase occurs again."""
+        chosen = np.flatnonzero(flag & 2)
+        count = self.count[chosen]
+        start = np.repeat(self.first[chosen], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return fingerprints(self.sums, start, start + self.length), start, np.repeat((flag[chosen] & 1).astype(bool), count)
 
 
 def batches(docs: DataFrame, length: int) -> DataFrame:
@@ -88,8 +116,8 @@ def batches(docs: DataFrame, length: int) -> DataFrame:
         for whole in parts:
             for batch in pieces(whole, most=BATCH_BYTES):
                 data, offsets = utf8(batch.column("text"))
-                first, count, trigger, phrase = parse_long(data, offsets, length)
-                body = pack({"ids": batch.column("doc_id").to_numpy(), "offsets": offsets, "data": data, "step": np.diff(first, prepend=0), "count": count, "trigger": trigger, "phrase": phrase})
+                first, count, where = parse_long(data, offsets, length)
+                body = pack({"ids": batch.column("doc_id").to_numpy(), "offsets": offsets, "data": data, "step": np.diff(first, prepend=0), "count": count, "place": where - first})
                 yield pa.record_batch({"batch": pa.array([number], pa.int64()), "body": pa.array([body], pa.binary()), "phrases": pa.array([len(first)], pa.int64())})
                 number += 1
 
@@ -105,8 +133,8 @@ def parse_long(data: np.ndarray, offsets: np.ndarray, length: int, most: int = 1
         b = min(len(data), a + most + length - 1)
         cut = np.unique(np.clip(offsets, a, b)) - a
         cut = np.unique(np.r_[0, cut, b - a])
-        first, count, trigger, phrase = parse(data[a:b], cut, length)
-        made.append((first + a, count, trigger, phrase))
+        first, count, where = parse(data[a:b], cut, length)
+        made.append((first + a, count, where + a))
     return tuple(np.concatenate(x) for x in zip(*made))
 
 
@@ -117,17 +145,15 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     empty texts have no bytes. A repeated row is an occurrence like any other, so the same text in two rows is a repeat. Rows without doc_id are left
     out; an empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    made = batches(docs, length)
-    held = dealt(made, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    held = dealt(batches(docs, length))
     total = held.agg(F.sum("phrases")).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-total // KEYS_PER_SHARD))
     held = held.select("batch", "body")
 
     def phrases(number, body, _):
-        x = unpack(body)
-        if len(x["trigger"]):
-            for shard, own, _ in spread((mix(x["trigger"].astype(U)) % U(shards)).astype(np.int64), {"trigger": x["trigger"], "phrase": x["phrase"]}):
+        x = Parsed(body, length)
+        if len(x.first):
+            for shard, own, _ in spread(x.shard(shards), {"trigger": x.trigger, "phrase": x.phrase()}):
                 yield shard, own
 
     def judge(requests):
@@ -147,24 +173,9 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     flags = answered(ask(held, None, phrases), judge)
 
-    def flags_of(x, got):
-        out = np.zeros(len(x["trigger"]), np.uint8)
-        if len(out):
-            for shard, _, places in spread((mix(x["trigger"].astype(U)) % U(shards)).astype(np.int64), {}):
-                out[places] = got[shard]["flags"]
-        return out
-
-    def suffixes_of(x, flag):
-        """Fingerprints of all windows of the phrases to be matched, their starts, and whether the phrase occurs again."""
-        chosen = np.flatnonzero(flag & 2)
-        count = x["count"][chosen].astype(np.int64)
-        first = np.cumsum(x["step"].astype(np.int64))[chosen]
-        start = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return fingerprints(prefix_sums(x["data"]), start, start + length), start, np.repeat((flag[chosen] & 1).astype(bool), count)
-
     def suffixes(number, body, got):
-        x = unpack(body)
-        key, _, again = suffixes_of(x, flags_of(x, got))
+        x = Parsed(body, length)
+        key, _, again = x.suffixes(x.flags(got, shards))
         for shard, own, _ in spread((key >> U(40)).astype(np.int64) % shards, {"key": key, "again": again.astype(np.uint8)}):
             yield shard, own
 
@@ -184,15 +195,14 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def remove(number, body, got):
         if not body:
             return pa.table({n: pa.array([], t) for n, t in KINDS})
-        x = unpack(body)
-        data, offsets = x["data"], x["offsets"].astype(np.int64)
-        flag = flags_of(x, got)
+        x = Parsed(body, length)
+        data, offsets = x.data, x.offsets
+        flag = x.flags(got, shards)
         edge = np.zeros(len(data) + 1, np.int64)
-        first = np.cumsum(x["step"].astype(np.int64))
         whole = np.flatnonzero(flag & 1)
-        np.add.at(edge, first[whole], 1)
-        np.add.at(edge, first[whole] + x["count"][whole].astype(np.int64) - 1 + length, -1)
-        key, start, _ = suffixes_of(x, flag)
+        np.add.at(edge, x.first[whole], 1)
+        np.add.at(edge, x.first[whole] + x.count[whole] - 1 + length, -1)
+        key, start, _ = x.suffixes(flag)
         if len(key):
             twice = np.zeros(len(key), bool)
             for shard, _, places in spread((key >> U(40)).astype(np.int64) % shards, {}):
@@ -201,7 +211,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             np.add.at(edge, start[twice] + length, -1)
         gone = np.cumsum(edge[:-1]) > 0
         out = {n: [] for n, _ in KINDS}
-        for doc, a, b in zip(x["ids"].tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+        for doc, a, b in zip(x.ids.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
             own = gone[a:b]
             turn = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8)))
             spans = [{"start": s, "end": e} for s, e in turn.reshape(-1, 2).tolist()]

@@ -58,9 +58,19 @@ def rows(made: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"batch": pa.array(a, pa.int64()), "shard": pa.array(b, pa.int64()), "body": pa.array(c, pa.binary())})
 
 
-def dealt(batches: DataFrame, partitions: int) -> DataFrame:
-    """The table of batches, stored and dealt out by batch."""
-    return stored(batches.repartition(partitions, "batch"))
+def dealt(batches: DataFrame) -> DataFrame:
+    """The table of batches, dealt out by batch and stored, once.
+
+    Spark remembers how a stored frame is dealt out if the plan that made it was fixed in advance, so adaptive execution rests while it is written. All later
+    steps then move only requests and replies.
+    """
+    conf = batches.sparkSession.conf
+    partitions, adaptive = int(conf.get("spark.sql.shuffle.partitions")), conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return stored(batches.repartition(partitions, "batch"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def ask(batches: DataFrame, replies: DataFrame | None, make: Callable[[int, bytes, dict[int, Arrays]], Iterable[tuple[int, Arrays]]]) -> DataFrame:

@@ -28,7 +28,7 @@ from wheelbase.llm.frames import bucket_of_id, table
 from wheelbase.llm.words import U, Words, keyed, mix, pieces
 
 CUT = 5
-BATCH_BYTES = 3_000_000
+BATCH_BYTES = 5_000_000
 PER_SHARD = 2_000_000
 LEAST_SHARDS = 32
 START, END = keyed(2, 901)
@@ -113,9 +113,8 @@ def scored(docs: DataFrame) -> DataFrame:
     Learns from the rows with held_out false. A null or empty text is its end token alone. Repeated rows count and are scored as often as they occur. Without training
     rows every score is 0. An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     made = batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "held_out"))
-    held = dealt(made, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    held = dealt(made)
     total = held.agg(F.sum("tokens")).first()[0] or 0
     held = held.select("batch", "body")
     shards = max(LEAST_SHARDS, -(-total // PER_SHARD))
