@@ -28,7 +28,7 @@ from wheelbase.llm.frames import bucket_of_id, table
 from wheelbase.llm.words import U, Words, keyed, mix, pieces
 
 CUT = 5
-BATCH_BYTES = 5_000_000
+BATCH_BYTES = 8_000_000
 PER_SHARD = 2_000_000
 LEAST_SHARDS = 32
 START, END = keyed(2, 901)
@@ -66,22 +66,32 @@ def batches(docs: DataFrame) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         for whole in parts:
             for batch in pieces(whole, most=BATCH_BYTES):
-                words = Words(batch.column("text"))
                 held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint8)
-                size = np.diff(words.ptr) + 1
-                # Every text is followed by END.
-                tokens = np.insert(words.hash, words.ptr[1:], END)
+                # Fingerprints in small parts; every text is followed by END.
+                parts_ = [Words(part.column("text")) for part in pieces(batch, most=1_000_000)]
+                size = np.concatenate([np.diff(p.ptr) for p in parts_]) + 1
+                tokens = np.concatenate([np.insert(p.hash, p.ptr[1:], END) for p in parts_])
                 vocabulary, index = np.unique(np.r_[START, END, tokens], return_inverse=True)
-                trained = np.repeat(held == 0, size)
-                count = np.bincount(index[2:][trained], minlength=len(vocabulary))
+                count = np.bincount(index[2:][np.repeat(held == 0, size)], minlength=len(vocabulary))
                 count[index[0]] = (held == 0).sum()
-                body = pack({"ids": batch.column("doc_id").to_numpy(), "size": size, "held": held, "vocabulary": vocabulary, "count": count, "start": index[:1], "index": index[2:]})
+                # Tokens by rank, so that common words get small numbers; fingerprints by their differences. Both pack better.
+                order = np.argsort(-np.bincount(index), kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                body = pack({"ids": batch.column("doc_id").to_numpy(), "size": size, "held": held, "step": np.diff(vocabulary, prepend=U(0)), "count": count, "start": index[:1], "order": order, "index": rank[index[2:]]})
                 yield pa.record_batch({"batch": pa.array([number], pa.int64()), "body": pa.array([body], pa.binary()), "tokens": pa.array([len(tokens)], pa.int64())})
                 number += 1
 
     return docs.mapInArrow(make, "batch long, body binary, tokens long")
 
 
+def opened(body: bytes) -> dict[str, np.ndarray]:
+    x = unpack(body)
+    x["vocabulary"] = np.cumsum(x.pop("step").astype(U))
+    x["index"] = x.pop("order").astype(np.int64)[x["index"]]
+    return x
+
+
 @dataclass
 class Pairs:
     """The distinct (history, word) pairs of a batch and the pair of every token, by place in the batch's vocabulary."""
@@ -121,26 +131,26 @@ def scored(docs: DataFrame) -> DataFrame:
 
     # ---- words -------------------------------------------------------------------------------------------------------
     def word_shard(vocabulary):
-        return (vocabulary % U(shards)).astype(np.int64)
+        return ((vocabulary >> U(32)) * U(shards) >> U(32)).astype(np.int64)
 
     def words(number, body, _):
-        x = unpack(body)
+        x = opened(body)
         for shard, own, _ in spread(word_shard(x["vocabulary"]), {"word": x["vocabulary"], "count": x["count"]}):
-            yield shard, own
+            yield shard, {"step": np.diff(own["word"], prepend=U(0)), "count": own["count"]}
 
     def count_words(requests):
-        word = np.concatenate([r["word"].astype(U) for r in requests])
+        word = np.concatenate([np.cumsum(r["step"].astype(U)) for r in requests])
         count = np.concatenate([r["count"] for r in requests]).astype(np.int64)
         distinct, place = np.unique(word, return_inverse=True)
         totals = np.bincount(place, weights=count, minlength=len(distinct)).astype(np.int64)
         # Global number: common words get small ones, which pack well. 0 is for words that training never saw.
         rank = np.empty(len(distinct), np.int64)
         rank[np.argsort(-totals, kind="stable")] = np.arange(len(distinct))
-        code = np.where(totals > 0, rank * shards + int(distinct[0] % U(shards)) + 1, 0)
+        code = np.where(totals > 0, rank * shards + int(word_shard(distinct[:1])[0]) + 1, 0)
         real = totals[(distinct != START) & (totals > 0)]
         split = totals > PER_SHARD
         side = {"tokens": np.array([real.sum()]), "types": np.array([len(real)]), "of_counts": np.bincount(np.minimum(real, CUT + 2), minlength=CUT + 3)[: CUT + 2], "split": code[split]}
-        edges = np.cumsum([0, *[len(r["word"]) for r in requests]])
+        edges = np.cumsum([0, *[len(r["step"]) for r in requests]])
         return [{"count": totals[place[a:b]], "code": code[place[a:b]]} for a, b in zip(edges, edges[1:])], side
 
     word_replies = answered(ask(held, None, words), count_words)
@@ -181,7 +191,7 @@ def scored(docs: DataFrame) -> DataFrame:
         return own, (mix(code[own].astype(U)) % U(shards)).astype(np.int64)
 
     def ask_pairs(number, body, got):
-        x = unpack(body)
+        x = opened(body)
         count, code = of_words(x, got)
         pairs = Pairs.of(x)
         known, shard = pair_shards(pairs, code)
@@ -246,7 +256,7 @@ def scored(docs: DataFrame) -> DataFrame:
     def finish(number, body, got):
         if not body:
             return pa.table({n: pa.array([], t) for n, t in KINDS})
-        x = unpack(body)
+        x = opened(body)
         count, code = of_words(x, got)
         pairs = Pairs.of(x)
         known, shard = pair_shards(pairs, code)
