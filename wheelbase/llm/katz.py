@@ -28,7 +28,7 @@ from wheelbase.llm.frames import bucket_of_id, table
 from wheelbase.llm.words import U, Words, keyed, mix, pieces
 
 CUT = 5
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 12_000_000
 PER_SHARD = 2_000_000
 LEAST_SHARDS = 32
 START, END = keyed(2, 901)

@@ -58,21 +58,21 @@ def hashed_units(docs: DataFrame, level: str) -> DataFrame:
 
 
 def repeats(docs: DataFrame, level: str) -> DataFrame:
-    """(doc_id, repeated array<int>): the units of each document that have an earlier occurrence. Rows of ``docs``: (doc_id, text), one per id."""
+    """(doc_id, repeated array<int>): the units of each document that have an earlier occurrence. Rows of ``docs``: (doc_id, text)."""
     placed = stored(hashed_units(docs, level)).select("doc_id", F.posexplode("digests").alias("pos", "digest"))
     owners = placed.groupBy("digest").agg(F.min(F.struct("doc_id", "pos")).alias("owner"), F.count("*").alias("n")).filter("n > 1").select("digest", "owner")
     later = placed.join(owners, "digest").filter((F.col("doc_id") != F.col("owner.doc_id")) | (F.col("pos") != F.col("owner.pos")))
-    return later.groupBy("doc_id").agg(F.collect_list("pos").alias("repeated"))
+    return later.groupBy("doc_id").agg(F.collect_set("pos").alias("repeated"))
 
 
 def deduplicate(docs: DataFrame, level: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_units, n_removed long, removed array<struct<start, end>> (code points of the input text), kept_text.
+    """One row per row of ``docs``: doc_id, n_units, n_removed long, removed array<struct<start, end>> (code points of the input text), kept_text.
 
-    A removed run reaches from its first unit to the start of the unit that follows it. Null and empty texts have no units and come back empty. Rows of one doc_id are one
-    document, with the greatest of its texts; rows without doc_id are left out. Ties between occurrences cannot arise, as (doc_id, position) is unique.
+    A removed run reaches from its first unit to the start of the unit that follows it. Null and empty texts have no units and come back empty. Repeated rows are one
+    document, not repeats of each other, and get equal result rows; rows without doc_id are left out. Ties between occurrences cannot arise, as (doc_id, position) is unique.
     An empty table gives no rows; other columns are ignored.
     """
-    docs = stored(texts(docs).groupBy("doc_id").agg(F.max("text").alias("text")))
+    docs = texts(docs)
     schema = T.StructType.fromDDL("doc_id long, n_units long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
 
     def remove(batches):
@@ -82,7 +82,7 @@ def deduplicate(docs: DataFrame, level: str = "sentence", min_words: int = MIN_W
                 for doc, text, repeated in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("repeated").to_pylist()):
                     spans = units(text, level)
                     gone, n_removed = [], 0
-                    marked = sorted(repeated or [])
+                    marked = sorted(p for p in repeated or [] if p < len(spans))
                     at = 0
                     while at < len(marked):
                         end = at
