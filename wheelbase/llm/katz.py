@@ -120,10 +120,10 @@ class Pairs:
 def scored(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, held_out): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_backed_off.
 
-    Learns from the rows with held_out false. A null or empty text is its end token alone. Repeated rows count and are scored as often as they occur. Without training
+    Learns from the rows with held_out false. A null or empty text is its end token alone. Rows without doc_id are left out. Repeated rows count and are scored as often as they occur. Without training
     rows every score is 0. An empty table gives no rows; other columns are ignored.
     """
-    made = batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "held_out"))
+    made = batches(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "held_out"))
     held = dealt(made)
     total = held.agg(F.sum("tokens")).first()[0] or 0
     held = held.select("batch", "body")

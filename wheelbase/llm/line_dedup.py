@@ -219,11 +219,11 @@ def _shard(shards: int):
 
 
 def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with text replaced by its remaining lines, plus a struct column ``line_dedup`` (n_lines, n_dropped, kept_sha256).
+    """(row struct of all columns of ``docs``, text of the remaining lines, n_lines, n_dropped, kept_sha256), one row per row of ``docs``.
 
     Keys found in at least ``min_docs`` different documents lose all their lines except in the largest doc_id that holds them. A null or
     empty text is one empty line and comes back empty. Rows without doc_id keep their text. Repeated rows count as one document and are all
-    treated alike. Other columns pass through, whatever their names; an empty table stays empty.
+    treated alike. Other columns pass through inside ``row``, whatever their names; an empty table stays empty.
     """
     dropped = LineIndex.build(docs, min_chars, min_docs).dropped()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
@@ -247,14 +247,12 @@ def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
                     sha.append(hashlib.sha256(text).hexdigest())
                 yield pa.record_batch([batch.column("row"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], ["row", "text", "n_lines", "n_dropped", "kept_sha256"])
 
-    made = wide.mapInArrow(rebuild, schema)
-    columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return made.select(*columns, F.struct("n_lines", "n_dropped", "kept_sha256").alias("line_dedup"))
+    return wide.mapInArrow(rebuild, schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text").filter("doc_id is not null"))
-    return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", "line_dedup.kept_sha256")
+    return out.select("row.doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
 OP10_SQL = """
@@ -277,5 +275,6 @@ from judged group by doc_id
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Crowded lines go from every text but one; n_chars follows the text. No document is dropped."""
-    out = deduplicate(docs).select(docs.columns)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    columns = [F.col("text") if c == "text" else chars.alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return deduplicate(docs).select(*columns)

@@ -28,7 +28,7 @@ END_ID = 0
 NODES = 30_000
 FILLING_NODES = 600
 FILLINGS = 4
-RANK_SLICE = 20_000
+RANK_SLICE = 2_000
 
 Plan = list[tuple[tuple[int, ...], int]]
 

@@ -61,6 +61,7 @@ def repeats(docs: DataFrame, level: str) -> DataFrame:
     """(doc_id, repeated array<int>): the units of each document that have an earlier occurrence. Rows of ``docs``: (doc_id, text)."""
     placed = stored(hashed_units(docs, level)).select("doc_id", F.posexplode("digests").alias("pos", "digest"))
     owners = placed.groupBy("digest").agg(F.min(F.struct("doc_id", "pos")).alias("owner"), F.count("*").alias("n")).filter("n > 1").select("digest", "owner")
+    owners = stored(owners)  # the join then stands directly on two shuffles, and Spark can split a hot digest
     later = placed.join(owners, "digest").filter((F.col("doc_id") != F.col("owner.doc_id")) | (F.col("pos") != F.col("owner.pos")))
     return later.groupBy("doc_id").agg(F.collect_set("pos").alias("repeated"))
 
