@@ -142,3 +142,10 @@ def test_metrics_of_fixed_predictions(spark):
     frame = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, 3.0), ("a", 5.0, 4.0)], "k string, y double, p double")
     row = models.regression_metrics(frame, ["k"], "y", "p").first()
     assert row.rmse == pytest.approx(math.sqrt(2 / 3)) and row.mae == pytest.approx(2 / 3) and row.r2 == pytest.approx(0.75)
+
+
+def test_pearson_of_constant_and_offset_columns(spark):
+    rows = [("flat", 0.1, float(i)) for i in range(1000)] + [("offset", 1e9 + i / 1000, float(i)) for i in range(1000)] + [("few", 1.0, 2.0), ("few", 2.0, 1.0)]
+    got = {r.g: (r.n, r.rho) for r in association.pearson(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect()}
+    assert got["flat"] == (1000, None) and got["few"] == (2, None)
+    assert abs(got["offset"][1] - 1) < 1e-6

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from wheelbase import vocab
 from wheelbase.functions import rules, text
 from wheelbase.operators import ingest
+from wheelbase import schemas
 from wheelbase.plans import ingest_job
 
 
@@ -123,6 +124,8 @@ def test_listing_merge_and_tables(spark, tmp_path):
     options = spark.createDataFrame([("1", json.dumps(PAYLOAD))], "series_id string, body string")
     measures = spark.createDataFrame([("3", PAGE)], "series_id string, html string")
     manifest = ingest_job.run(merged, options, measures, "2026-07-10", str(tmp_path / "out"))
+    # The catalog job can read what was written.
+    assert spark.read.schema(schemas.TRIMS).parquet(str(tmp_path / "out" / "trims.parquet")).select("model_year").collect()
     assert {r.table_name: r.n_rows for r in manifest.collect()} == {
         "series": 2, "trims": 2, "trim_parameters": 6, "parameter_definitions": 3, "series_month_sales": 2, "failures": 0,
     }

@@ -18,10 +18,17 @@ def pearson(df: DataFrame, group: Sequence[str], x: str, y: str, weight: str | N
 
     With ``weight``, each row stands for that many equal rows.
     """
-    w = F.col(weight) if weight else F.lit(1)
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    varied = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    if weight is None:
+        # These aggregates work on deviations from the mean, so a large offset costs no digits.
+        rho = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+        found = df.groupBy(*group).agg(F.count("*").alias("n"), varied.alias("varied"), rho.alias("rho"))
+        return found.select(*group, "n", F.when((F.col("n") >= 3) & F.col("varied"), F.col("rho")).alias("rho"))
+    w = F.col(weight)
     sums = df.groupBy(*group).agg(
         F.sum(w).alias("n"),
+        varied.alias("varied"),
         F.sum(w * a).alias("sx"),
         F.sum(w * b).alias("sy"),
         F.sum(w * a * a).alias("sxx"),
@@ -31,7 +38,7 @@ def pearson(df: DataFrame, group: Sequence[str], x: str, y: str, weight: str | N
     n = F.col("n")
     cross = n * F.col("sxy") - F.col("sx") * F.col("sy")
     spread = (n * F.col("sxx") - F.col("sx") * F.col("sx")) * (n * F.col("syy") - F.col("sy") * F.col("sy"))
-    return sums.select(*group, "n", F.when((n >= 3) & (spread > 0), cross / F.sqrt(spread)).alias("rho"))
+    return sums.select(*group, "n", F.when((n >= 3) & F.col("varied") & (spread > 0), cross / F.sqrt(spread)).alias("rho"))
 
 
 def spearman(df: DataFrame, group: Sequence[str], x: str, y: str, **ranges: int) -> DataFrame:

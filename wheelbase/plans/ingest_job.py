@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wheelbase import vocab
 from wheelbase.operators import ingest
@@ -39,6 +40,8 @@ def run(
     """Write every table as Parquet, then count the written tables for the manifest."""
     spark = candidates.sparkSession
     built = build_tables(candidates, option_responses, measure_pages, captured_at, links)
+    # The catalog job reads the year as a number; a year that is none becomes null and stops nothing.
+    built["trims"] = built["trims"].withColumn("model_year", F.expr("try_cast(model_year as int)"))
     for name, frame in built.items():
         tables.write_parquet(frame, f"{output}/{name}.parquet")
     written = {name: spark.read.parquet(f"{output}/{name}.parquet") for name in built}
