@@ -7,8 +7,9 @@
 3. Bins form bands; equal bands are a bucket. The number of bands follows from the threshold, so that a pair at the threshold is missed
    with a chance below ``MISS``.
 4. In each bucket centres are linked with the other members (a star), never all members with each other. Links are checked on the
-   full sets. Buckets that still hold several components get further centres, eight times as many in every round, until each bucket is one component
-   or every member has been a centre: so no link inside a bucket is lost, and a group around one original takes two or three rounds.
+   full sets. Buckets that still hold several components get further centres, 64 times as many in every round, until each bucket is one component
+   or every member has been a centre: so no link inside a bucket is lost, and a group around one original takes two or three rounds. From the third
+   round on, the members' differences from the bucket's second centre decide most pairs without their texts.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from wheelbase.llm.words import U, Words, keyed, mix, pieces
 
 ROWS_PER_BAND = 6
 MISS = 1e-6
+# From the third wave on, each has so many times the centres of the one before.
+GROWTH = 64
+# What a member of a bucket keeps of its pivot: the pivot's size, the intersection with it, and the differences.
+PIVOT = {"size": "long", "both": "long", "lacks": "array<long>", "adds": "array<long>"}
 
 
 def bands_for(threshold: float, rows: int = ROWS_PER_BAND, miss: float = MISS) -> int:
@@ -75,23 +80,34 @@ def signatures(docs: DataFrame, k: int, threshold: float, rows: int = ROWS_PER_B
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def intersections(pairs: DataFrame, held: DataFrame, k: int) -> DataFrame:
-    """(a, b, both, union): sizes counted on the full sets of both texts; ``held`` has one text per id."""
+def intersections(pairs: DataFrame, held: DataFrame, k: int, deltas: bool = False) -> DataFrame:
+    """(a, b, both, union): sizes counted on the full sets of both texts; ``held`` has one text per id.
+
+    With ``deltas`` also ``lacks`` (shingles of b that a has not) and ``adds`` (the reverse); null where they are more than a's set together.
+    """
+    schema = "a long, b long, both long, union long" + ", lacks array<long>, adds array<long>" * deltas
 
     def check(batches):
         for whole in batches:
             for left in pieces(whole, "text_a", 1_000_000):
-                common, union, at = [], [], 0
+                common, union, lacks, adds, at = [], [], [], [], 0
                 for batch in pieces(left, "text_b", 1_000_000):
                     one = Words(left.column("text_a").slice(at, batch.num_rows)).sets(k)
                     at += batch.num_rows
                     for x, y in zip(one, Words(batch.column("text_b")).sets(k)):
                         union.append(len(np.unique(np.concatenate([x, y]))))
                         common.append(len(x) + len(y) - union[-1])
-                yield pa.record_batch({"a": left.column("a"), "b": left.column("b"), "both": pa.array(common, pa.int64()), "union": pa.array(union, pa.int64())})
+                        if deltas:
+                            close = union[-1] - common[-1] <= len(x)
+                            lacks.append(np.setdiff1d(y, x, True).view(np.int64) if close else None)
+                            adds.append(np.setdiff1d(x, y, True).view(np.int64) if close else None)
+                made = {"a": left.column("a"), "b": left.column("b"), "both": pa.array(common, pa.int64()), "union": pa.array(union, pa.int64())}
+                if deltas:
+                    made |= {"lacks": pa.array(lacks, pa.list_(pa.int64())), "adds": pa.array(adds, pa.list_(pa.int64()))}
+                yield pa.record_batch(made)
 
     both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, both long, union long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, schema)
 
 
 def private_counts(held: DataFrame, k: int) -> DataFrame:
@@ -111,9 +127,10 @@ def private_counts(held: DataFrame, k: int) -> DataFrame:
 def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) of all representatives with a link; ``sets`` holds one row (rep, n, bands) per distinct set.
 
-    Two exact upper bounds keep pairs out before any text is compared. A shingle that no other candidate holds is private, so two sets share at most
-    the smaller n - private. And once all members of a bucket are compared with its pivot, two of them share at most the smaller intersection with
-    the pivot plus the smaller rest that is neither the pivot's nor private. Neither bound can lose a link.
+    Exact bounds keep pairs out before any text is compared; none can lose a link. A shingle that no other candidate holds is private, so two sets share
+    at most the smaller n - private. Once all members of a bucket are compared with its pivot, two of them share at most the smaller intersection with
+    the pivot plus the smaller rest that is neither the pivot's nor private. And where both keep their differences from the pivot (which are small in a
+    family of near copies), these give the intersection itself: the pivot's size, less what either lacks, plus what both add.
     """
     members = sets.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
@@ -123,38 +140,51 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     active = active.join(private_counts(held, k), "rep", "left").select("bucket", "rep", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("common"))
     active = active.filter(100 * F.col("common") >= percent * F.col("n"))
     several = active.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    active = active.join(several, "bucket", "left_semi").select("*", F.lit(False).alias("used"), F.col("rep").alias("component"), F.lit(None).cast("long").alias("pivot"))
+    active = active.join(several, "bucket", "left_semi").select("*", F.lit(False).alias("used"), F.col("rep").alias("component"), *[F.lit(None).cast(kind).alias(c) for c, kind in PIVOT.items()])
     active = stored(active)
+    carried = ["n", "common", "component", *PIVOT]
     found, tried, labels, wave = None, None, None, 0
+
+    def enough(shared_most):
+        return 100 * shared_most >= percent * (F.col("n") + F.col("n_c") - shared_most)
+
     while not active.isEmpty():
-        # Centres: those with most links so far (the original of a group), then the smallest. One in the first two waves, the pivots; then 8, 64, ...
-        ranked = active.filter("not used").select("bucket", "rep", "n", "common", "component", "pivot")
+        # Centres: those with most links so far (the original of a group), then the smallest. One in the first two waves, the pivots; then 64, 4096, ...
+        ranked = active.filter("not used").select("bucket", "rep", *carried)
         if found is None:
             ranked = ranked.withColumn("degree", F.lit(0))
         else:
             ranked = ranked.join(found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree")), "rep", "left")
-        ranked = ranked.select("bucket", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("rep")).alias("less"), "n", "common", "component", "pivot").alias("rank"))
-        chosen = _largest(ranked, 8 ** max(0, wave - 1)).select("bucket", (-F.col("rank.less")).alias("centre"), *[F.col(f"rank.{c}").alias(f"{c}_c") for c in ("n", "common", "component", "pivot")])
-        most = F.least("common", "common_c", F.least("pivot", "pivot_c") + F.least(F.col("common") - F.col("pivot"), F.col("common_c") - F.col("pivot_c")))
-        most = F.when(F.col("pivot").isNotNull() & F.col("pivot_c").isNotNull(), most).otherwise(F.least("common", "common_c"))
-        pairs = active.join(chosen, "bucket").filter("rep <> centre").filter(100 * most >= percent * (F.col("n") + F.col("n_c") - most))
-        if wave > 1:
-            pairs = pairs.filter("component <> component_c")
-        pairs = pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        measured = stored(intersections(pairs, held, k))
+        ranked = ranked.select("bucket", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("rep")).alias("less"), *carried).alias("rank"))
+        chosen = _largest(ranked, GROWTH ** max(0, wave - 1)).select("bucket", (-F.col("rank.less")).alias("centre"), *[F.col(f"rank.{c}").alias(f"{c}_c") for c in carried])
+        met = active.join(chosen, "bucket").filter("rep <> centre")
+        if wave == 0:
+            met = met.filter(enough(F.least("common", "common_c")))
+        elif wave > 1:
+            most = F.least("common", "common_c", F.least("both", "both_c") + F.least(F.col("common") - F.col("both"), F.col("common_c") - F.col("both_c")))
+            exact = F.col("size") - F.size(F.array_union("lacks", "lacks_c")) + F.size(F.array_intersect("adds", "adds_c"))
+            met = met.filter("component <> component_c").filter(enough(most)).filter(enough(F.when(F.col("lacks").isNotNull() & F.col("lacks_c").isNotNull(), exact).otherwise(most)))
+        if wave == 1:
+            measured = stored(intersections(met.select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), held, k, deltas=True))
+            apart = measured
+            measured = measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "both", "union").distinct()
+        else:
+            pairs = met.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+            measured = stored(intersections(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), held, k))
         good = measured.filter(100 * F.col("both") >= percent * F.col("union")).select("a", "b")
-        tried = measured.select("a", "b", "both") if tried is None else stored(tried.unionByName(measured.select("a", "b", "both")))
+        tried = measured.select("a", "b") if tried is None else tried.unionByName(measured.select("a", "b"))
         if labels is None or not good.isEmpty():
             found = good if found is None else stored(found.unionByName(good))
             labels = components(found)
         used = chosen.select("bucket", F.col("centre").alias("rep"), F.lit(True).alias("now"))
         state = active.drop("component").join(used, ["bucket", "rep"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        state = state.select("bucket", "rep", "n", "common", "pivot", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"), F.coalesce("component", "rep").alias("component"))
+        state = state.select("bucket", "rep", "n", "common", *PIVOT, (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"), F.coalesce("component", "rep").alias("component"))
         if wave == 1:
-            near = state.join(chosen.select("bucket", "centre"), "bucket").select(*state.columns, "centre", F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-            state = near.join(tried, ["a", "b"], "left").select(*[c for c in state.columns if c != "pivot"], F.when(F.col("rep") == F.col("centre"), F.col("n")).otherwise(F.col("both")).alias("pivot"))
+            pivots = chosen.select("bucket", "centre", F.col("n_c").alias("of_pivot"))
+            state = state.drop(*PIVOT).join(pivots, "bucket").join(apart.select(F.col("a").alias("rep"), F.col("b").alias("centre"), "both", "lacks", "adds"), ["rep", "centre"], "left")
+            itself, none = F.col("rep") == F.col("centre"), F.array().cast("array<long>")
+            kept = {"size": F.col("of_pivot"), "both": F.when(itself, F.col("n")).otherwise(F.col("both")), **{c: F.when(itself, none).otherwise(F.col(c)) for c in ("lacks", "adds")}}
+            state = state.select("bucket", "rep", "n", "common", *[kept[c].alias(c) for c in PIVOT], "used", "component")
         state = stored(state)
         open_ = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if(~F.col("used")).alias("left"))
         # One unused member has met all others, as centres of its bucket.
