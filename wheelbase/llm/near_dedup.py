@@ -30,8 +30,8 @@ ROWS_PER_BAND = 6
 MISS = 1e-6
 # From the third wave on, each has so many times the centres of the one before.
 GROWTH = 64
-# What a member of a bucket keeps of its pivot: the pivot's size, the intersection with it, and the differences.
-PIVOT = {"size": "long", "both": "long", "lacks": "array<long>", "adds": "array<long>"}
+# What a member of a bucket keeps of its pivot: which it is, its size, and the intersection with it. The differences are stored once for each member and pivot.
+PIVOT = ("pivot", "size", "both")
 
 
 def bands_for(threshold: float, rows: int = ROWS_PER_BAND, miss: float = MISS) -> int:
@@ -132,18 +132,18 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     the pivot plus the smaller rest that is neither the pivot's nor private. And where both keep their differences from the pivot (which are small in a
     family of near copies), these give the intersection itself: the pivot's size, less what either lacks, plus what both add.
     """
-    members = sets.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    active = stored(members.join(shared, "bucket"))
+    banded = sets.select("rep", "n", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
+    active = stored(banded.join(shared, "bucket"))
     reps = active.select(F.col("rep").alias("doc_id")).distinct()
     held = stored(docs.join(reps, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
     active = active.join(private_counts(held, k), "rep", "left").select("bucket", "rep", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("common"))
     active = active.filter(100 * F.col("common") >= percent * F.col("n"))
     several = active.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    active = active.join(several, "bucket", "left_semi").select("*", F.lit(False).alias("used"), F.col("rep").alias("component"), *[F.lit(None).cast(kind).alias(c) for c, kind in PIVOT.items()])
+    active = active.join(several, "bucket", "left_semi").select("*", F.lit(False).alias("used"), F.col("rep").alias("component"), *[F.lit(None).cast("long").alias(c) for c in PIVOT])
     active = stored(active)
     carried = ["n", "common", "component", *PIVOT]
-    found, tried, labels, wave = None, None, None, 0
+    found, tried, apart, labels, wave = None, None, None, None, 0
 
     def enough(shared_most):
         return 100 * shared_most >= percent * (F.col("n") + F.col("n_c") - shared_most)
@@ -157,7 +157,13 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
             ranked = ranked.join(found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree")), "rep", "left")
         ranked = ranked.select("bucket", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("rep")).alias("less"), *carried).alias("rank"))
         chosen = _largest(ranked, GROWTH ** max(0, wave - 1)).select("bucket", (-F.col("rank.less")).alias("centre"), *[F.col(f"rank.{c}").alias(f"{c}_c") for c in carried])
-        met = active.join(chosen, "bucket").filter("rep <> centre")
+        if wave > 1:
+            told = apart.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "lacks", "adds")
+            members = active.join(told, ["rep", "pivot"], "left")
+            chosen = chosen.join(told.toDF("centre", "pivot_c", "lacks_c", "adds_c"), ["centre", "pivot_c"], "left")
+        else:
+            members = active
+        met = members.join(chosen, "bucket").filter("rep <> centre")
         if wave == 0:
             met = met.filter(enough(F.least("common", "common_c")))
         elif wave > 1:
@@ -180,11 +186,9 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
         state = active.drop("component").join(used, ["bucket", "rep"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         state = state.select("bucket", "rep", "n", "common", *PIVOT, (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"), F.coalesce("component", "rep").alias("component"))
         if wave == 1:
-            pivots = chosen.select("bucket", "centre", F.col("n_c").alias("of_pivot"))
-            state = state.drop(*PIVOT).join(pivots, "bucket").join(apart.select(F.col("a").alias("rep"), F.col("b").alias("centre"), "both", "lacks", "adds"), ["rep", "centre"], "left")
-            itself, none = F.col("rep") == F.col("centre"), F.array().cast("array<long>")
-            kept = {"size": F.col("of_pivot"), "both": F.when(itself, F.col("n")).otherwise(F.col("both")), **{c: F.when(itself, none).otherwise(F.col(c)) for c in ("lacks", "adds")}}
-            state = state.select("bucket", "rep", "n", "common", *[kept[c].alias(c) for c in PIVOT], "used", "component")
+            pivots = chosen.select("bucket", F.col("centre").alias("pivot"), F.col("n_c").alias("size"))
+            state = state.drop(*PIVOT).join(pivots, "bucket").join(apart.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "both"), ["rep", "pivot"], "left")
+            state = state.withColumn("both", F.coalesce("both", "n")).select("bucket", "rep", "n", "common", *PIVOT, "used", "component")
         state = stored(state)
         open_ = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if(~F.col("used")).alias("left"))
         # One unused member has met all others, as centres of its bucket.
