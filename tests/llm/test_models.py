@@ -126,3 +126,61 @@ def test_katz_equals_brute_force(spark, docs, clashing, empty, monkeypatch):
 def test_katz_beats_the_base_on_held_out_rows(spark):
     got = QUERIES["op5_lm_scoring"](spark, SMALL).filter("held_out").groupBy().sum("score", "base_score").first()
     assert got[0] > got[1]
+
+
+def brute_katz_of_order(table, order):
+    """doc_id -> score by the recursion itself, over plain counters of k-grams."""
+    tokens = [(i, held, [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())] + [None]) for i, t, held in table]
+    grams = lambda ws, k: zip(*[(["<s>"] * (k - 1) + ws)[j:] for j in range(k)])
+    counts = {k: Counter(g for _, held, ws in tokens if not held for g in grams(ws, k)) for k in range(1, order + 1)}
+    mass = {k: katz.Discounts.of(np.array([0, *[Counter(c.values())[r] for r in range(1, katz.CUT + 2)]])).mass for k, c in counts.items()}
+    discounted = {k: {g: float(mass[k](np.array([n]))[0]) for g, n in c.items()} for k, c in counts.items()}
+    total = {k: Counter() for k in counts}
+    after = {k: defaultdict(list) for k in counts}
+    for k, c in counts.items():
+        for g, n in c.items():
+            total[k][g[:-1]] += n
+            after[k][g[:-1]].append(g)
+    unseen = 1 - sum(discounted[1].values()) / total[1][()]
+
+    def p(g):
+        k = len(g)
+        if g in counts[k]:
+            return discounted[k][g] / total[k][g[:-1]]
+        if k == 1:
+            return unseen
+        seen = after[k].get(g[:-1], [])
+        if not seen:
+            return p(g[1:])
+        return (1 - sum(map(p, seen))) / (1 - sum(p(s[1:]) for s in seen)) * p(g[1:])
+
+    return {i: (sum(math.log10(p(g)) for g in grams(ws, order)), sum(g not in counts[order] for g in grams(ws, order))) for i, _, ws in tokens}
+
+
+def test_katz_of_higher_order_equals_brute_force(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    said = "a b c a b d a b c d a b c a c b a b e b c a"
+    table = [(r[0], r[1]) for r in ROWS if r[0] is not None and len(r[1] or "") < 20_000]
+    table += [(100 + i, " ".join(said.split()[i:] + said.split()[: i // 2])) for i in range(12)] + [(120, "c b d zz a b"), (123, "a b zz c a b c")]
+    frame = spark.createDataFrame(table, "doc_id long, text string").withColumn("held_out", F.col("doc_id") % 3 == 0)
+    for order, split in ((2, 20), (3, 2_000_000), (3, 10), (4, 10)):
+        monkeypatch.setattr(katz, "PER_SHARD", split)
+        want = brute_katz_of_order([(i, t, i % 3 == 0) for i, t in table], order)
+        got = katz.scored(frame, order).collect()
+        assert len(got) == len(table)
+        for r in got:
+            assert math.isclose(r.score, want[r.doc_id][0], rel_tol=1e-9) and r.n_backed_off == want[r.doc_id][1], (order, split, r)
+
+
+def test_op5_uses_contexts_of_two_words(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").filter("doc_id is not null")
+    table = [(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in docs.collect()]
+    want = brute_katz_of_order(table, 3)
+    for r in QUERIES["op5_lm_scoring"](spark, folder).collect():
+        assert math.isclose(r.score, want[r.doc_id][0], rel_tol=1e-9)
+
+
+def test_katz_keys_tell_all_histories_apart():
+    one, two = (x.ravel() for x in np.meshgrid(np.arange(600), np.arange(600)))
+    assert len(np.unique(katz.keys_of([one, two]))) == 360_000
