@@ -167,3 +167,16 @@ def test_unit_dedup_equals_brute_force(docs, clashing, empty):
     assert rows(unit_dedup.deduplicate(clashing), "doc_id", "n_units", "n_removed", "kept_text") == want
     assert unit_dedup.deduplicate(empty).count() == 0
     assert unit_dedup.units("a\n\nb c\nd", "paragraph") == [(0, 1), (3, 8)]
+
+
+def test_probe_groups_follow_the_number_of_holdings(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "ROWS_PER_GROUP", 100)
+    common = "this one line is found in a handful of documents only"
+    long_ = "\n".join(f"line {n} of the one long document, which no other text of the table holds" for n in range(1500))
+    table = [(i, f"a line of its own, told from all others by its number {i}" + ("\n" + common if i % 300 == 0 else "")) for i in range(1800)] + [(5000, long_)]
+    index = line_dedup.LineIndex.build(spark.createDataFrame(table, "doc_id long, text string"))
+    assert index.shards == 1
+    grouped, salts = index.grouped(index.holdings)
+    sizes = [r["count"] for r in grouped.groupBy("shard", "salt").count().collect()]
+    assert sum(sizes) == 1800 + 1500 + 6 and max(sizes) < 200 and salts == 34
+    assert {r.doc_id: len(r["keys"]) for r in index.dropped().collect()} == {i: 1 for i in range(0, 1500, 300)}

@@ -6,8 +6,8 @@ the exact reference count of a line and its largest holder, ``filters`` (shard,
 drop a line. Deleting a document takes its holdings out of the counts, and keys that are no longer crowded leave their filter.
 
 A key is a line stripped of [\\x20\\x09-\\x0D] at both ends with A-Z lower-cased, told by 128 bits of BLAKE2b. Shorter keys than ``min_chars`` code
-points are never dropped. Counting combines before the shuffle, filters are tried on (shard, salt) groups whose number follows the largest count, and
-the exact look-up is a join that Spark can split, so a line that a third of all documents share lands in no single task.
+points are never dropped. Counting combines before the shuffle, filters are tried on (shard, salt) groups whose number follows both the largest count and the number
+of holdings, and the exact look-up is a join that Spark can split, so a line that a third of all documents share lands in no single task.
 """
 
 from __future__ import annotations
@@ -195,13 +195,17 @@ class LineIndex:
         filters = self.filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(change, "shard long, cells binary")
         return LineIndex(holdings, counts, stored(filters), self.shards, self.min_chars, self.min_docs)
 
+    def grouped(self, rows: DataFrame) -> tuple[DataFrame, int]:
+        """(shard, salt, doc_id, key) from rows (doc_id, key), and the number of salts: a group has about ROWS_PER_GROUP rows, however few keys are crowded and however hot one is."""
+        most = self.counts.agg(F.max("n_docs")).first()[0] or 0
+        salts = max(1, -(-most // ROWS_PER_GROUP), -(-rows.count() // (self.shards * ROWS_PER_GROUP)))
+        return rows.select(_shard(self.shards).alias("shard"), F.pmod(F.xxhash64("doc_id", "key"), F.lit(salts)).alias("salt"), "doc_id", "key"), salts
+
     def dropped(self, holdings: DataFrame | None = None) -> DataFrame:
         """(doc_id, keys array): the lines that each document loses."""
         rows = self.holdings if holdings is None else holdings
         crowded = self.counts.filter(F.col("n_docs") >= self.min_docs).select("key", "largest")
-        most = self.counts.agg(F.max("n_docs")).first()[0] or 0
-        salts = max(1, -(-most // ROWS_PER_GROUP))
-        rows = rows.select(_shard(self.shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), "doc_id", "key")
+        rows, salts = self.grouped(rows)
         copies = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
 
         def probe(rows: pa.Table, held: pa.Table) -> pa.Table:
