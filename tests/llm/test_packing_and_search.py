@@ -144,3 +144,20 @@ def test_pipeline(spark, folder, docs, clashing):
 def test_every_numbered_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert len(list(combinations(QUERIES, 2))) == 45
+
+
+def test_added_tokens_in_texts_keep_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(packing.vocabulary_path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    said = ["a <|endoftext|> b", end, end * 3, f"x{end}\n\n y", f"  {end}  z", "<|endoftext|", "<|EndOfText|>", prose(3, 1500) + end + prose(4, 1500), prose(5, 40), ""]
+    want = [own.encode(text, add_special_tokens=False).ids for text in said]
+    assert want[0] == [64, 220, 50256, 275]
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"):
+        encode = packing.tokenizer(packing.vocabulary_path(name))
+        assert [list(encode(text)) for text in said] == want
+    got = {}
+    for r in packing.pack(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), keep_ids=True).orderBy("doc_id", "piece").collect():
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert got == {i: [*ids, packing.END_ID] for i, ids in enumerate(want)}

@@ -11,8 +11,11 @@ its waste leaves no chance to beat the incumbent; the search ends at the lower b
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from bisect import bisect_left
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -176,12 +179,14 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
 
 
 def tokenizer(path: str):
-    """The byte-level BPE of a ``tokenizers`` file. Its ranks are run by tiktoken, which gives the same ids at three times the speed."""
+    """The byte-level BPE of a ``tokenizers`` file, as it stands: its added tokens are found in the text.
+
+    A rank file is run by tiktoken, which gives the same ids at three times the speed; texts that hold an added token of the ``tokenizers`` file of the same name go through that file.
+    """
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
         return lambda text: own.encode(text, add_special_tokens=False).ids
     import base64
 
@@ -190,7 +195,14 @@ def tokenizer(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    twin = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(twin):
+        return plain
+    with open(twin, encoding="utf-8") as file:
+        added = [token["content"] for token in json.load(file)["added_tokens"]]
+    whole = cache(lambda: tokenizer(twin))  # read when the first such text comes
+    return lambda text: whole()(text) if any(token in text for token in added) else plain(text)
 
 
 def vocabulary_path(name: str) -> str:
