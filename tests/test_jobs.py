@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMOKE
+from tests.conftest import SMOKE
 from wheelbase import schemas, vocab
 from wheelbase.operators import catalog, models, overview, summary
 from wheelbase.plans import analysis_job, catalog_job, overview_job, recommend_job

@@ -20,8 +20,8 @@ def brute_ranks(values):
     return {v: (ordered.index(v) + 1 + ordered.index(v) + ordered.count(v)) / 2 for v in values}
 
 
-@pytest.mark.parametrize("sample_every", [1, 3, 4096])
-def test_average_ranks_with_hot_group_and_hot_value(spark, sample_every):
+@pytest.mark.parametrize("ranges", [None, 1, 8, 100])
+def test_average_ranks_with_hot_group_and_hot_value(spark, ranges):
     rng = random.Random(11)
     data = []
     for i in range(900):
@@ -29,7 +29,7 @@ def test_average_ranks_with_hot_group_and_hot_value(spark, sample_every):
         value = 0.0 if rng.random() < 0.34 else round(rng.uniform(-50, 50), 1)
         data.append((group, value))
     frame = spark.createDataFrame(data, "g string, v double")
-    got = ordering.average_ranks(frame, ["g"], "v", ranges=8, sample_every=sample_every).collect()
+    got = ordering.average_ranks(frame, ["g"], "v", ranges=ranges).collect()
     for group in {g for g, _ in data}:
         want = brute_ranks([v for g, v in data if g == group])
         assert {r.v: r["rank"] for r in got if r.g == group} == want
@@ -37,6 +37,21 @@ def test_average_ranks_with_hot_group_and_hot_value(spark, sample_every):
         assert sum(r["rank"] * r.n_ties for r in got if r.g == group) == size * (size + 1) / 2
 
 
+def test_sums_and_numbers_over_null_groups_and_empty_frames(spark):
+    rows = [(g, i) for i in range(60) for g in (None, "a", "hot") if g == "hot" or i % 7 == 0]
+    frame = spark.createDataFrame(rows, "g string, i int")
+    got = ordering.with_sums_before(frame, ["g"], ["i"], {"total": F.col("i"), "n": F.lit(1)}, ranges=5).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        smaller = [i for g, i in rows if g == r.g and i < r.i]
+        assert (r.total, r.n) == (sum(smaller), len(smaller))
+    numbers = ordering.numbered(frame, ["i", "g"], "no", ranges=7).collect()
+    assert [r.no for r in sorted(numbers, key=lambda r: (r.i, r.g or ""))] == list(range(len(rows)))
+    assert ordering.numbered(frame.limit(0), ["i", "g"], "no").collect() == []
+    parts = ordering.in_ranges(frame.filter("g = 'hot'"), ["g", "i"], 6).groupBy("_part").count().collect()
+    assert len(parts) == 6 and max(r["count"] for r in parts) < 30
+
+
 def test_spearman_cases(spark):
     rows = [("p", x, 2.0 * x) for x in range(1, 6)] + [("flat", 1.0, float(x)) for x in range(5)] + [("few", 1.0, 2.0), ("few", 2.0, 1.0)]
     frame = spark.createDataFrame([(g, float(x), y) for g, x, y in rows], "f string, x double, y double")
@@ -55,12 +70,12 @@ def brute_bh(ps):
     return out
 
 
-@pytest.mark.parametrize("sample_every", [1, 2, 4096])
-def test_fdr_matches_brute_force(spark, sample_every):
+@pytest.mark.parametrize("ranges", [None, 1, 9])
+def test_fdr_matches_brute_force(spark, ranges):
     rng = random.Random(3)
     for ps in ([0.01, 0.04, 0.03, None], [rng.choice([0.2, 0.01, round(rng.random(), 3), None]) for _ in range(200)], [None, None]):
         frame = spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "i int, p double")
-        got = {r.i: r.fdr_q_value for r in association.fdr_bh(frame, "p", ranges=8, sample_every=sample_every).collect()}
+        got = {r.i: r.fdr_q_value for r in association.fdr_bh(frame, "p", ranges=ranges).collect()}
         for i, want in enumerate(brute_bh(ps)):
             assert got[i] == (None if want is None else pytest.approx(want))
 

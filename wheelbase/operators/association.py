@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wheelbase import vocab
 from wheelbase.functions.statistics import with_spearman_p
-from wheelbase.operators.ordering import average_ranks, with_amount_before, with_minimum_from
+from wheelbase.operators.ordering import average_ranks, with_minimum_from, with_sums_before
 from wheelbase.staging import checkpointed
 
 
@@ -41,27 +41,27 @@ def pearson(df: DataFrame, group: Sequence[str], x: str, y: str, weight: str | N
     return sums.select(*group, "n", F.when((n >= 3) & F.col("varied") & (spread > 0), cross / F.sqrt(spread)).alias("rho"))
 
 
-def spearman(df: DataFrame, group: Sequence[str], x: str, y: str, **ranges: int) -> DataFrame:
+def spearman(df: DataFrame, group: Sequence[str], x: str, y: str, ranges: int | None = None) -> DataFrame:
     """Pearson correlation of average ranks per group.
 
     Equal (x, y) pairs are folded to one counted row first; ranks are joined to that smaller table.
     """
     pairs = df.groupBy(*group, x, y).agg(F.count("*").alias("_w"))
-    rank_x = average_ranks(df, group, x, "rank_x", **ranges).drop("n_ties")
-    rank_y = average_ranks(df, group, y, "rank_y", **ranges).drop("n_ties")
+    rank_x = average_ranks(df, group, x, "rank_x", ranges).drop("n_ties")
+    rank_y = average_ranks(df, group, y, "rank_y", ranges).drop("n_ties")
     ranked = pairs.join(rank_x, [*group, x]).join(rank_y, [*group, y])
     # Doubled ranks are whole numbers, so the sums are exact as long as they fit a double.
     doubled = ranked.withColumns({"rank_x": F.col("rank_x") * 2, "rank_y": F.col("rank_y") * 2})
     return pearson(doubled, group, "rank_x", "rank_y", "_w")
 
 
-def fdr_bh(df: DataFrame, p: str, name: str = "fdr_q_value", **ranges: int) -> DataFrame:
+def fdr_bh(df: DataFrame, p: str, name: str = "fdr_q_value", ranges: int | None = None) -> DataFrame:
     """Benjamini–Hochberg adjusted p-values over the whole frame; NULL stays NULL and is not counted."""
     known = df.filter(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_n"))
     total = df.agg(F.count(p)).scalar()
-    placed = with_amount_before(known, [], p, "_n", **ranges)
+    placed = with_sums_before(known, [], [p], {"before": F.col("_n")}, ranges)
     level = F.col(p) * total / (F.col("before") + F.col("_n"))
-    adjusted = with_minimum_from(placed, [], p, level, "_q", **ranges)
+    adjusted = with_minimum_from(placed, [], p, level, "_q", ranges)
     capped = adjusted.select(p, F.least(F.lit(1.0), "_q").alias(name))
     return df.join(capped, p, "left")
 
@@ -93,16 +93,16 @@ def feature_pairs(features: DataFrame, target: DataFrame, controls: DataFrame |
 
 
 def univariate_associations(
-    features: DataFrame, target: DataFrame, controls: DataFrame | None = None, stage=checkpointed, **ranges: int
+    features: DataFrame, target: DataFrame, controls: DataFrame | None = None, stage=checkpointed, ranges: int | None = None
 ) -> DataFrame:
     """(feature_name, n, spearman_rho, p_value, fdr_q_value) over features and numeric controls.
 
     The correlations (one row per feature) are written once; the adjustment reads them several times.
     """
     pairs = feature_pairs(features, target, controls)
-    correlated = spearman(pairs, ["feature_name", "least"], "x", "y", **ranges).filter(F.col("n") >= F.col("least"))
+    correlated = spearman(pairs, ["feature_name", "least"], "x", "y", ranges).filter(F.col("n") >= F.col("least"))
     named = correlated.select("feature_name", "n", F.col("rho").alias("spearman_rho"))
-    return fdr_bh(stage(with_spearman_p(named, "spearman_rho", "n")), "p_value", **ranges)
+    return fdr_bh(stage(with_spearman_p(named, "spearman_rho", "n")), "p_value", ranges)
 
 
 def association_order() -> list:

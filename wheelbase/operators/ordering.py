@@ -1,81 +1,91 @@
-"""Ordered computations (ranks, running sums, running minima) that do not funnel a group into one task.
+"""Ordered computations (ranks, running sums, running minima, row numbers) as a prefix scan over range partitions.
 
-A window over a whole group sorts the group in one task.  Here the distinct values of a group are cut
-into ranges first, windows run inside the ranges, and a small per-range table carries the totals over.
-The cut points come from values picked by hash, so a plan that evaluates them twice gets the same ones.
+A window over a whole group sorts the group in one task.  Here the rows are dealt over ranges of
+(group, order) and stored once, windows run inside a range, and one total per (range, group) is carried
+over.  A group of any size is spread over as many ranges as its share of the rows; what is carried over
+has one row per range and group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGES = 64
-SAMPLE_EVERY = 4096
+from wheelbase.staging import checkpointed
 
+_BEFORE = (Window.unboundedPreceding, -1)
 
-def with_ranges(
-    df: DataFrame, group: Sequence[str], value: str, ranges: int = RANGES, sample_every: int = SAMPLE_EVERY
+
+def in_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None, stage=checkpointed) -> DataFrame:
+    """The rows with ``_part``, the number of their range: all rows of a range sort before those of the next.
+
+    There are as many ranges as the session has shuffle partitions. Rows equal in ``order`` share a range.
+    The frame is stored, as a range number must not change when a lost task is run again.
+    """
+    ranges = ranges or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return stage(df.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, NULL equal to NULL; the keys of the left side stay."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def with_sums_before(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], amounts: Mapping[str, Column], ranges: int | None = None,
+    stage=checkpointed,
 ) -> DataFrame:
-    """Add ``_range``: ascending range number of ``value`` in its group (rows unique per group and value)."""
-    picked = df.filter(F.pmod(F.xxhash64(*group, value), F.lit(sample_every)) == 0)
-    tile = F.ntile(ranges).over(Window.partitionBy(*group).orderBy(value))
-    cuts = (
-        picked.select(*group, F.col(value), tile.alias("_tile"))
-        .groupBy(*group, "_tile")
-        .agg(F.min(value).alias("_cut"))
-        .groupBy(*group)
-        .agg(F.array_sort(F.collect_list("_cut")).alias("_cuts"))
-    )
-    below = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda cut: cut <= F.col(value)))
-    if group:
-        joined = df.join(cuts, list(group), "left")
-    else:
-        joined = df.withColumn("_cuts", cuts.select("_cuts").scalar())
-    return joined.withColumn("_range", below).drop("_cuts")
-
-
-def with_amount_before(df: DataFrame, group: Sequence[str], value: str, amount: str, **ranges: int) -> DataFrame:
-    """Add ``before``: the summed ``amount`` of all smaller values in the group."""
-    ranged = with_ranges(df, group, value, **ranges)
-    totals = ranged.groupBy(*group, "_range").agg(F.sum(amount).alias("_total"))
-    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumn("_local", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    return (
-        local.join(offsets, [*group, "_range"])
-        .withColumn("before", F.col("_offset") + F.col("_local"))
-        .drop("_range", "_offset", "_local")
-    )
+    """Add, for every name in ``amounts``, the sum of that amount over all earlier rows of the group.
+
+    ``order`` should be total inside a group; among equal rows the sums follow some order.
+    """
+    ranged = in_ranges(df.withColumns({f"_a_{n}": a for n, a in amounts.items()}), [*group, *order], ranges, stage)
+    keys = ["_part", *group]
+    totals = ranged.groupBy(*keys).agg(*[F.sum(f"_a_{n}").alias(f"_t_{n}") for n in amounts])
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(*_BEFORE)
+    offsets = totals.select(*keys, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in amounts])
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*_BEFORE)
+    local = ranged.withColumns({f"_l_{n}": F.coalesce(F.sum(f"_a_{n}").over(inside), F.lit(0)) for n in amounts})
+    found = _same(local, offsets, keys).withColumns({n: F.col(f"_o_{n}") + F.col(f"_l_{n}") for n in amounts})
+    return found.drop("_part", *[f"{p}{n}" for n in amounts for p in ("_a_", "_t_", "_o_", "_l_")])
 
 
-def with_minimum_from(df: DataFrame, group: Sequence[str], value: str, measure: Column, name: str, **ranges: int) -> DataFrame:
+def with_minimum_from(
+    df: DataFrame, group: Sequence[str], value: str, measure: Column, name: str, ranges: int | None = None, stage=checkpointed
+) -> DataFrame:
     """Add ``name``: the smallest ``measure`` among this value and all larger ones in the group."""
-    ranged = with_ranges(df, group, value, **ranges).withColumn("_measure", measure)
-    lows = ranged.groupBy(*group, "_range").agg(F.min("_measure").alias("_low"))
-    later = Window.partitionBy(*group).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
-    suffix = lows.select(*group, "_range", F.min("_low").over(later).alias("_later"))
-    inside = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(0, Window.unboundedFollowing)
+    ranged = in_ranges(df.withColumn("_measure", measure), [*group, value], ranges, stage)
+    keys = ["_part", *group]
+    lows = ranged.groupBy(*keys).agg(F.min("_measure").alias("_low"))
+    later = Window.partitionBy(*group).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    suffix = lows.select(*keys, F.min("_low").over(later).alias("_later"))
+    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(0, Window.unboundedFollowing)
     local = ranged.withColumn("_here", F.min("_measure").over(inside))
     # least() skips NULL, so the last range, which has nothing after it, keeps its own minimum.
-    return (
-        local.join(suffix, [*group, "_range"])
-        .withColumn(name, F.least("_here", "_later"))
-        .drop("_range", "_measure", "_here", "_later")
-    )
+    return _same(local, suffix, keys).withColumn(name, F.least("_here", "_later")).drop("_part", "_measure", "_here", "_later")
 
 
-def average_ranks(df: DataFrame, group: Sequence[str], value: str, name: str = "rank", **ranges: int) -> DataFrame:
+def numbered(
+    df: DataFrame, order: Sequence[str], name: str, ranges: int | None = None, stage=checkpointed
+) -> DataFrame:
+    """Add ``name``: the number (from 0) of the row in the whole frame's order, which should be total."""
+    return with_sums_before(df, [], order, {name: F.lit(1).cast("long")}, ranges, stage)
+
+
+def average_ranks(
+    df: DataFrame, group: Sequence[str], value: str, name: str = "rank", ranges: int | None = None, stage=checkpointed
+) -> DataFrame:
     """Rank of each distinct value in its group, ties averaged: one row per (group, value).
 
     Repeated values are counted on the map side, so a frequent value is one row before it is shuffled.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n_ties"))
-    placed = with_amount_before(counted, group, value, "n_ties", **ranges)
+    placed = with_sums_before(counted, group, [value], {"before": F.col("n_ties")}, ranges, stage)
     return placed.select(
         *group, value, (F.col("before") + (F.col("n_ties") + 1) / 2).alias(name), F.col("n_ties")
     )

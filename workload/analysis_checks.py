@@ -170,7 +170,7 @@ SELECT event_type, event_id, rank() OVER (PARTITION BY event_type ORDER BY value
   + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0::DOUBLE AS rank FROM events""")
 def average_ranks(spark, sf):
     events = views.table(spark, sf, "events").select("event_type", "event_id", "value")
-    ranks = ordering.average_ranks(events, ["event_type"], "value", sample_every=64).drop("n_ties")
+    ranks = ordering.average_ranks(events, ["event_type"], "value").drop("n_ties")
     return events.join(ranks, ["event_type", "value"]).select("event_type", "event_id", "rank")
 
 
@@ -184,7 +184,7 @@ SELECT l_linestatus, count(*) AS n, round(covar_pop(rx, ry) / (stddev_pop(rx) *
 @check("spearman", SPEARMAN_SQL)
 def spearman(spark, sf):
     lines = views.table(spark, sf, "lineitem").select("l_linestatus", "l_quantity", "l_extendedprice")
-    rows = association.spearman(lines, ["l_linestatus"], "l_quantity", "l_extendedprice", sample_every=64)
+    rows = association.spearman(lines, ["l_linestatus"], "l_quantity", "l_extendedprice")
     return rows.withColumn("rho", F.round("rho", 6))
 
 
@@ -215,7 +215,7 @@ FROM levels""")
 def fdr_bh(spark, sf):
     orders = views.table(spark, sf, "orders")
     tests = orders.select("o_orderkey", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice") / 1000000.0).alias("p"))
-    return association.fdr_bh(tests, "p", "q", sample_every=64).select("o_orderkey", F.round("q", 9).alias("q"))
+    return association.fdr_bh(tests, "p", "q").select("o_orderkey", F.round("q", 9).alias("q"))
 
 
 def described(spark, sf):
