@@ -30,3 +30,10 @@ def texts(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id")
 def bucket_of_id(modulus: int, column: str = "doc_id"):
     """crc32 of the id's decimal text, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def crc32_sql(column: str) -> str:
+    """The unsigned crc32 of a column's decimal text in the SQL of the side-by-side check: one step a bit."""
+    steps = f"flatten(list_transform(string_split({column}::VARCHAR, ''), lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END) END"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda x, y: {step}), 4294967295::BIGINT)"
