@@ -195,12 +195,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN energy_type = '纯电' THEN (300 + p_size * 10)::DOUBLE END AS range_km,
         CASE WHEN energy_type <> '纯电' THEN 5 + (p_size % 8) / 2.0::DOUBLE END AS fuel_consumption,
         CASE WHEN p_size % 7 <> 0 THEN 80 + p_size * 7 END AS horsepower,
-        CASE WHEN p_size % 11 <> 0 THEN 2015 + p_size % 12 END AS model_year, sales,
-        CASE WHEN sales IS NOT NULL THEN '2001' END AS sales_period
+        CASE WHEN p_size % 11 <> 0 THEN 2015 + p_size % 12 END AS model_year, sales, sales_period
       FROM (SELECT *, {sql_list(vocab.ENERGY_CLASSES)}[(p_partkey % 5 + 1)::INT] AS energy_type,
               round((p_retailprice - 895) * 0.5, 2) AS price_min_wan,
               round(round((p_retailprice - 895) * 0.5, 2) + (p_size % 5) * 0.5, 2) AS price_max_wan FROM part)
-        LEFT JOIN (SELECT l_partkey, sum(l_quantity)::INT AS sales FROM lineitem WHERE l_shipdate >= DATE '2001-01-01' GROUP BY 1)
+        LEFT JOIN (SELECT l_partkey, sum(l_quantity)::INT AS sales, strftime(max(l_shipdate), '%Y-%m') AS sales_period FROM lineitem GROUP BY 1)
         ON p_partkey = l_partkey"""),
     "items": (("item_base",), f"""
       SELECT *, CASE WHEN sales > 0 THEN round(ln(sales + 1) / (SELECT max(ln(sales + 1)) FROM item_base WHERE sales > 0), 4) END AS normalized_heat,
@@ -217,7 +216,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN k % 3 = 0 THEN []::VARCHAR[] ELSE ['Brand#' || (1 + k % 25), 'Brand#' || (1 + (k * 7) % 25), 'Brand#' || (1 + k % 25), ' '] END AS brands,
         CASE WHEN k % 53 = 0 THEN '越野' ELSE ['城市通勤', '家庭出行', '长途出行', ''][(k % 4 + 1)::INT] END AS scenario,
         CASE WHEN k % 43 = 0 THEN '12' WHEN k % 4 = 0 THEN '5' ELSE '' END AS min_seats,
-        CASE WHEN k % 47 = 0 THEN '-1' WHEN k % 5 = 0 THEN '20' END AS min_sales,
+        CASE WHEN k % 47 = 0 THEN '-1' WHEN k % 5 = 0 THEN (k % 1200)::VARCHAR END AS min_sales,
         CASE WHEN k % 23 = 0 THEN '9' WHEN k % 7 = 0 THEN NULL ELSE (3 + k % 3)::VARCHAR END AS "limit"
       FROM (SELECT c_custkey AS k, trunc(abs(c_acctbal))::BIGINT AS b, c_nationkey FROM customer)"""),
     "request_errors": (("raw_requests",), f"""

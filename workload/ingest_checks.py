@@ -274,33 +274,31 @@ def html_listing(spark, sf):
 
 
 @check("top_n_per_category", """
-SELECT p_brand, p_type, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS rn FROM part WHERE p_type IN ('ECONOMY', 'LARGE', 'SMALL'))
-WHERE rn <= CASE p_type WHEN 'ECONOMY' THEN 3 WHEN 'LARGE' THEN 1 ELSE 100000 END""")
+SELECT p_brand, p_type, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS rn FROM part)
+WHERE rn <= CASE p_type WHEN 'ECONOMY' THEN 3 WHEN 'LARGE' THEN 1 WHEN 'PROMO' THEN 7 ELSE 100000 END""")
 def top_n_per_category(spark, sf):
-    limits = {"ECONOMY": 3, "LARGE": 1, "SMALL": 100_000}
-    parts = views.table(spark, sf, "part").filter(F.col("p_type").isin(*limits)).select("p_brand", "p_type", "p_partkey")
+    limits = {"ECONOMY": 3, "LARGE": 1, "PROMO": 7, "SMALL": 100_000, "MEDIUM": 100_000, "STANDARD": 100_000}
+    parts = views.table(spark, sf, "part").select("p_brand", "p_type", "p_partkey")
     return ingest.top_n_per_category(parts, limits, ("p_brand", "p_type"), ("p_partkey",), "p_type")
 
 
 # ------------------------------------------------------------------ candidates
 
 
-def listing(spark, sf, hint: str, modulus: int) -> "views.DataFrame":
-    """A listing of the parts whose size is no multiple of ``modulus``; every third key is repeated."""
+def listing(spark, sf, hint: str) -> "views.DataFrame":
+    """A listing of the parts; every third key is repeated."""
     key = F.col("p_partkey")
-    base = views.table(spark, sf, "part").filter(F.col("p_size") % modulus != 0)
-    kept = base.select(
+    return views.table(spark, sf, "part").select(
         (key % 7).cast("int").alias("page_no"), key.alias("pos"), F.col("p_type" if hint == "body" else "p_brand").alias("category"),
         (key - key % 3 % 2).cast("string").alias("series_id"), F.col("p_name").alias("name"),
         F.col("p_retailprice").alias("list_price_min"), (F.col("p_retailprice") + 1).alias("list_price_max"), F.lit(hint).alias("hint_type"),
     )
-    return kept
 
 
 CANDIDATE_SQL = """
 listed AS (
-  SELECT 0 AS l, p_partkey % 7 AS page_no, p_partkey AS pos, p_type AS category, (p_partkey - p_partkey % 3 % 2)::VARCHAR AS series_id, p_name AS name, p_retailprice AS lo, 'body' AS hint_type FROM part WHERE p_size % 5 <> 0
-  UNION ALL SELECT 1, p_partkey % 7, p_partkey, p_brand, (p_partkey - p_partkey % 3 % 2)::VARCHAR, p_name, p_retailprice, 'energy' FROM part WHERE p_size % 4 <> 0),
+  SELECT 0 AS l, p_partkey % 7 AS page_no, p_partkey AS pos, p_type AS category, (p_partkey - p_partkey % 3 % 2)::VARCHAR AS series_id, p_name AS name, p_retailprice AS lo, 'body' AS hint_type FROM part
+  UNION ALL SELECT 1, p_partkey % 7, p_partkey, p_brand, (p_partkey - p_partkey % 3 % 2)::VARCHAR, p_name, p_retailprice, 'energy' FROM part),
 candidates AS (
   SELECT series_id, arg_min(name, (l, page_no, pos)) AS name, arg_min(lo, (l, page_no, pos)) AS list_price_min, arg_min(lo, (l, page_no, pos)) + 1 AS list_price_max,
     min((l, page_no, pos)) AS ord, array_to_string(list_sort(list(DISTINCT category) FILTER (hint_type = 'body')), '|') AS body_hints,
@@ -308,7 +306,7 @@ candidates AS (
 
 
 def candidates(spark, sf):
-    return ingest.merge_candidates([listing(spark, sf, "body", 5), listing(spark, sf, "energy", 4)])
+    return ingest.merge_candidates([listing(spark, sf, "body"), listing(spark, sf, "energy")])
 
 
 @check("merge_candidates", f"""WITH {CANDIDATE_SQL} SELECT series_id, name, list_price_min, list_price_max, coalesce(body_hints, '') AS body_hints, coalesce(energy_hints, '') AS energy_hints FROM candidates""")
@@ -325,10 +323,11 @@ def limit_candidates(spark, sf):
 
 
 @check("has_response", f"""WITH {CANDIDATE_SQL} SELECT series_id FROM candidates WHERE series_id IN (
-  SELECT l_partkey::VARCHAR FROM lineitem WHERE l_quantity >= 50 UNION SELECT l_partkey::VARCHAR FROM lineitem WHERE l_quantity <= 1)""")
+  SELECT o_custkey::VARCHAR FROM orders UNION SELECT s_suppkey::VARCHAR FROM supplier)""")
 def has_response(spark, sf):
-    lines = views.table(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("series_id"), "l_quantity")
-    options, pages = lines.filter(F.col("l_quantity") >= 50), lines.filter(F.col("l_quantity") <= 1)
+    """Ids of the customers who ordered stand for payloads, those of the suppliers for pages."""
+    options = views.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("series_id"))
+    pages = views.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("series_id"))
     return ingest.has_response(candidates(spark, sf), options, pages).select("series_id")
 
 

@@ -152,17 +152,15 @@ def assembled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    """A catalog straight from the parts; last-year quantities are the measure."""
-    year_sales = (
-        table(spark, sf, "lineitem").filter(F.col("l_shipdate") >= "2001-01-01")
-        .groupBy("l_partkey").agg(F.sum("l_quantity").cast("int").alias("sales"))
-    )
+    """A catalog straight from the parts; all quantities sold are the measure, the last month sold in its period."""
+    sales = table(spark, sf, "lineitem").groupBy("l_partkey").agg(
+        F.sum("l_quantity").cast("int").alias("sales"), F.date_format(F.max("l_shipdate"), "yyyy-MM").alias("sales_period"))
     low, high = list_prices()
     key, size = F.col("p_partkey"), F.col("p_size")
     energy = text_at(vocab.ENERGY_CLASSES, key % 5)
     base = (
         table(spark, sf, "part")
-        .join(year_sales, F.col("p_partkey") == F.col("l_partkey"), "left")
+        .join(sales, F.col("p_partkey") == F.col("l_partkey"), "left")
         .select(
             rules.stable_id(F.concat(F.lit("p-"), series_id("p_partkey"))).alias("car_id"),
             F.concat("p_name", F.lit(" "), series_id("p_partkey")).alias("model_name"),
@@ -178,7 +176,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
             F.when(size % 7 != 0, 80 + size * 7).alias("horsepower"),
             F.when(size % 11 != 0, 2015 + size % 12).alias("model_year"),
             "sales",
-            F.when(F.col("sales").isNotNull(), "2001").alias("sales_period"),
+            "sales_period",
         )
     )
     return base.withColumns(
@@ -215,7 +213,7 @@ def raw_requests(spark: SparkSession, sf: str) -> DataFrame:
         .alias("brands"),
         F.when(k % 53 == 0, "越野").otherwise(text_at((*vocab.SCENARIOS, ""), k % 4)).alias("scenario"),
         F.when(k % 43 == 0, "12").when(k % 4 == 0, "5").otherwise("").alias("min_seats"),
-        F.when(k % 47 == 0, "-1").when(k % 5 == 0, "20").alias("min_sales"),
+        F.when(k % 47 == 0, "-1").when(k % 5 == 0, (k % 1200).cast("string")).alias("min_sales"),
         F.when(k % 23 == 0, "9").when(k % 7 == 0, F.lit(None)).otherwise((3 + k % 3).cast("string")).alias("limit"),
         F.lit(False).alias("use_llm"),
     )
