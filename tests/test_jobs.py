@@ -189,10 +189,10 @@ def test_facets_and_distribution_label_missing_values(spark, items):
     mixed = items.withColumn("body_type", F.when(F.col("car_id") == "car_0", "").otherwise(F.col("body_type")))
     rows = {(r.facet, r.field, r.name): r.n for r in summary.facets(mixed, ["body_type"], ["brand", "body_type"], vocab.OTHER_LABEL).collect()}
     assert rows == {
-        ("count", "body_type", "其他"): 1, ("count", "body_type", "SUV"): 4, ("value", "body_type", "SUV"): None,
-        ("value", "brand", "品牌甲"): None, ("value", "brand", "品牌乙"): None, ("total", "", ""): 5,
+        ("count", "body_type", "其他"): 1, ("count", "body_type", "轿车"): 5, ("value", "body_type", "轿车"): None,
+        ("value", "brand", "云桥"): None, ("value", "brand", "海川"): None, ("total", "", ""): 6,
     }
-    assert [(r.brand, r.n_rows) for r in summary.distribution(items, "brand").collect()] == [("品牌甲", 4), ("品牌乙", 1)]
+    assert [(r.brand, r.n_rows) for r in summary.distribution(items, "brand").collect()] == [("云桥", 4), ("海川", 2)]
 
 
 def test_hot_key_dedupe_is_deterministic(spark):

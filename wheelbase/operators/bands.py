@@ -28,7 +28,7 @@ def _over_buckets(df: DataFrame, low: Column, high: Column) -> DataFrame:
     )
 
 
-def _sliced(df: DataFrame, sizes: DataFrame, keys: list[str], own: str, other: str, identity: str) -> DataFrame:
+def sliced(df: DataFrame, sizes: DataFrame, keys: list[str], own: str, other: str, identity: str) -> DataFrame:
     """Assign each row one of its own slices and copy it to every slice of the other side."""
     return (
         df.join(sizes, keys)
@@ -68,8 +68,8 @@ def band_join(
 
     # Keys only one side has drop out here, before anything is shuffled for the pairing.
     sizes = slices(laid_items, "n_i").join(slices(laid_requests, "n_r"), keys)
-    left = _sliced(laid_items, sizes, keys, "i", "r", item_id)
-    right = _sliced(laid_requests, sizes, keys, "r", "i", request_id)
+    left = sliced(laid_items, sizes, keys, "i", "r", item_id)
+    right = sliced(laid_requests, sizes, keys, "r", "i", request_id)
     first_shared = F.col("bucket") == F.greatest("item_bucket", "request_bucket")
     overlap = (F.col("price_min_wan") <= F.col("band_high")) & (F.col("price_max_wan") >= F.col("band_low"))
     joined = left.join(right, [*keys, "i", "r"])

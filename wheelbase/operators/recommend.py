@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 from wheelbase import vocab
 from wheelbase.functions.rules import first_match
 from wheelbase.operators.bands import band_join
+from wheelbase.operators.contest import contenders
+from wheelbase.operators.counting import count_in_bands
 from wheelbase.operators.requests import SIGNATURE_FIELDS, signature
 from wheelbase.staging import checkpointed
 
@@ -24,6 +26,13 @@ VISIBLE = (
     "normalized_heat", "scenario_tags",
 )
 BEST = vocab.LIMIT_MAX
+# Up to this many distinct requests are shipped to all tasks and tried on every item in one scan, without a shuffle of the catalog.
+FEW = 64
+
+
+def priced(items: DataFrame) -> DataFrame:
+    """Items whose missing or zero upper price is the lower one."""
+    return items.withColumn("price_max_wan", F.coalesce(F.nullif("price_max_wan", F.lit(0.0)), F.col("price_min_wan")))
 
 
 def item_groups(items: DataFrame, best: int = BEST) -> DataFrame:
@@ -32,8 +41,7 @@ def item_groups(items: DataFrame, best: int = BEST) -> DataFrame:
     ``weight`` is the group's size on its first member and 0 on the others, so that summed weights
     count all items.  The row-number filter is applied inside the map tasks first.
     """
-    priced = items.withColumn("price_max_wan", F.coalesce(F.nullif("price_max_wan", F.lit(0.0)), F.col("price_min_wan")))
-    keyed = priced.withColumn(
+    keyed = priced(items).withColumn(
         "group_id", F.sha2(F.to_json(F.struct(*VISIBLE), {"ignoreNullFields": "false"}), 256)
     )
     order = Window.partitionBy("group_id").orderBy(
@@ -73,8 +81,9 @@ def _scenario_hit() -> Column:
     return F.coalesce(F.array_contains("scenario_tags", F.col("scenario")), F.lit(False))
 
 
-def _pairs(items: DataFrame, sigs: DataFrame, ceiling: Column, condition: Column | None = None) -> DataFrame:
-    wanted = sigs.withColumns(
+def _wanted(sigs: DataFrame, ceiling: Column) -> DataFrame:
+    """Requests in the form of the pairing: their band, and the wished classes under names of their own."""
+    return sigs.withColumns(
         {
             "band_low": F.col("budget_min_wan"),
             "band_high": ceiling,
@@ -82,32 +91,35 @@ def _pairs(items: DataFrame, sigs: DataFrame, ceiling: Column, condition: Column
             "want_energy": F.col("energy_type"),
         }
     ).drop("body_type", "energy_type")
-    sold = items.withColumnRenamed("sales", "item_sales")
-    accepted = _minimums() if condition is None else _minimums() & condition
-    return band_join(sold, wanted, accepted, "car_id", "sig")
 
 
 def core_matches(items: DataFrame, sigs: DataFrame) -> DataFrame:
     """All (item, distinct request) pairs that satisfy the hard conditions under the plain ceiling."""
-    return _pairs(items, sigs, F.col("budget_max_wan")).select("sig", "car_id")
+    sold = items.withColumnRenamed("sales", "item_sales")
+    return band_join(sold, _wanted(sigs, F.col("budget_max_wan")), _minimums(), "car_id", "sig").select("sig", "car_id")
 
 
-def count_matches(items: DataFrame, sigs: DataFrame, policy: vocab.RelaxPolicy = vocab.RelaxPolicy()) -> DataFrame:
-    """Per distinct request: core matches, those that also fit brand and/or scenario, and matches
-    under the raised ceiling — one conditional aggregate over one join."""
-    narrow = items.select(
-        "car_id", "weight", "price_min_wan", "price_max_wan", "body_type", "energy_type", "brand", "seats", "sales",
-        "scenario_tags",
-    )
-    pairs = _pairs(narrow, sigs, raised_ceiling(policy))
+def count_matches(
+    items: DataFrame, sigs: DataFrame, policy: vocab.RelaxPolicy = vocab.RelaxPolicy(), stage=checkpointed
+) -> DataFrame:
+    """Per distinct request: core matches, those that also fit brand and/or scenario, and matches under the raised ceiling."""
+    return count_in_bands(items, sigs, raised_ceiling(policy), stage)
+
+
+def _tried(items: DataFrame, wanted: DataFrame, condition: Column) -> DataFrame:
+    """Items that fit requests of which there are at most FEW."""
+    classes = ((F.col("want_body") == "") | (F.col("body_type") == F.col("want_body"))) & ((F.col("want_energy") == "") | (F.col("energy_type") == F.col("want_energy")))
+    overlap = (F.col("price_min_wan") <= F.col("band_high")) & (F.col("price_max_wan") >= F.col("band_low"))
+    return items.withColumnRenamed("sales", "item_sales").join(F.broadcast(wanted), overlap & classes & _minimums() & condition)
+
+
+def count_for_few(items: DataFrame, sigs: DataFrame, policy: vocab.RelaxPolicy = vocab.RelaxPolicy()) -> DataFrame:
+    """The counts of ``count_matches`` for at most FEW requests: one scan, summed up in the map tasks."""
     core = F.col("price_min_wan") <= F.col("budget_max_wan")
     total = lambda condition: F.sum(F.when(condition, F.col("weight")).otherwise(F.lit(0)))
-    return pairs.groupBy("sig").agg(
-        total(core).alias("n_core"),
-        total(core & _brand_hit()).alias("n_brand"),
-        total(core & _scenario_hit()).alias("n_scenario"),
-        total(core & _brand_hit() & _scenario_hit()).alias("n_both"),
-        F.sum("weight").alias("n_raised"),
+    return _tried(items, _wanted(sigs, raised_ceiling(policy)), F.lit(True)).groupBy("sig").agg(
+        total(core).alias("n_core"), total(core & _brand_hit()).alias("n_brand"), total(core & _scenario_hit()).alias("n_scenario"),
+        total(core & _brand_hit() & _scenario_hit()).alias("n_both"), F.sum("weight").alias("n_raised"),
     )
 
 
@@ -223,22 +235,33 @@ def template_reason(name: Column | str, labels: Column) -> Column:
 
 
 def decisions(
-    groups: DataFrame, requests: DataFrame, policy: vocab.RelaxPolicy = vocab.RelaxPolicy(), stage=checkpointed
-) -> DataFrame:
-    """Relaxation decisions per distinct request (key ``sig``) over grouped items."""
+    items: DataFrame, requests: DataFrame, policy: vocab.RelaxPolicy = vocab.RelaxPolicy(), stage=checkpointed
+) -> tuple[DataFrame, DataFrame, bool]:
+    """(items with their weights, relaxation decisions per distinct request ``sig``, whether the requests are few).
+
+    The distinct requests are counted; few of them are tried on the items as they are, many on groups of equal items.
+    """
     sigs = stage(distinct_requests(requests))
-    return relax(sigs, count_matches(groups, sigs, policy), policy)
+    few = sigs.count() <= FEW
+    weighted = priced(items).withColumn("weight", F.lit(1).cast("long")) if few else stage(item_groups(items))
+    counts = count_for_few(weighted, sigs, policy) if few else count_matches(weighted, sigs, policy, stage)
+    return weighted, stage(relax(sigs, counts, policy)), few
 
 
-def ranked_per_signature(groups: DataFrame, decided: DataFrame) -> DataFrame:
+def ranked_per_signature(weighted: DataFrame, decided: DataFrame, few: bool, stage=checkpointed) -> DataFrame:
     """The leading items of every distinct request.
 
-    The final candidate set is joined with its filters already decided; each task keeps only its own
-    leading rows per request before anything is shuffled for the ranking.
+    Filters are decided by now. Few requests meet every item. Many meet cells of items first and then only the items of cells that
+    can reach the request's last place. Each task keeps only its own leading rows per request before the ranking shuffles.
     """
-    wanted = decided.select("sig", *SIGNATURE_FIELDS, "ceiling", "keep_brand", "keep_scenario")
-    chosen = (~F.col("keep_brand") | _brand_hit()) & (~F.col("keep_scenario") | _scenario_hit())
-    candidates = _pairs(groups, wanted, F.col("ceiling"), chosen).withColumn("score", weighted_score())
+    wanted = _wanted(decided.select("sig", *SIGNATURE_FIELDS, "ceiling", "keep_brand", "keep_scenario"), F.col("ceiling"))
+    scenario = ~F.col("keep_scenario") | _scenario_hit()
+    fits = _minimums() & (~F.col("keep_brand") | _brand_hit()) & scenario
+    cell_fits = _minimums() & (~F.col("keep_brand") | F.arrays_overlap("brands", "cell_brands")) & scenario
+    if few:
+        candidates = _tried(weighted, wanted, fits).withColumn("score", weighted_score())
+    else:
+        candidates = contenders(weighted, wanted, price_basis(), weighted_score, fits, cell_fits, stage=stage)
     order = Window.partitionBy("sig").orderBy(
         F.desc("score"),
         F.coalesce("data_completeness", F.lit(0.0)).desc(),
@@ -270,9 +293,8 @@ def recommend(
     ``stage`` writes them once; all three are no larger than the catalog or the request table.
     """
     keyed = requests.withColumn("sig", signature())
-    groups = stage(item_groups(items))
-    decided = stage(decisions(groups, requests, policy, stage))
-    ranked = keyed.select(key, "sig").join(ranked_per_signature(groups, decided), "sig").drop("sig")
+    weighted, decided, few = decisions(items, requests, policy, stage)
+    ranked = keyed.select(key, "sig").join(ranked_per_signature(weighted, decided, few, stage), "sig").drop("sig")
     verdict = decided.select("sig", "total_candidates", "relaxed_conditions")
     envelope = keyed.join(verdict, "sig").drop("sig")
     return ranked, envelope

@@ -46,11 +46,20 @@ SELECT request_id, n_core, n_brand, n_scenario, n_both, n_raised, raised, ceilin
   keep_scenario AND NOT raised AS keep_scenario FROM decisions"""))
 def relax_decisions(spark, sf):
     valid = valid_requests(spark, sf)
-    decided = recommend.decisions(recommend.item_groups(views.items(spark, sf)), valid)
+    decided = recommend.decisions(views.items(spark, sf), valid)[1]
     counts = ("n_core", "n_brand", "n_scenario", "n_both", "n_raised", "raised", "ceiling", "keep_brand", "keep_scenario")
     return valid.select("request_id", requests.signature().alias("sig")).join(decided, "sig").select("request_id", *counts)
 
 
+# One customer's request at a time is the interactive use: it takes the plan for few requests, whatever the size of the catalog.
+@check("recommend_one", with_ctes(("ranked",), """
+SELECT request_id, rank::INT AS rank, car_id, model_name, score FROM ranked WHERE request_id = (SELECT min(request_id) FROM requests)"""))
+def recommend_one(spark, sf):
+    valid = valid_requests(spark, sf)
+    first = valid.filter(F.col("request_id") == valid.agg(F.min("request_id")).scalar())
+    return recommend.recommend(views.items(spark, sf), first)[0].select("request_id", "rank", "car_id", "model_name", "score")
+
+
 @check("core_match", with_ctes(("items", "requests"), """
 SELECT request_id, count(*) AS n_items, min(car_id) AS first_car, max(car_id) AS last_car
 FROM requests r JOIN items i ON i.price_min_wan <= r.budget_max_wan
