@@ -153,6 +153,44 @@ def test_models_find_the_planted_signal(spark):
     }
 
 
+def correlated(spark, n=400):
+    """Many features on few hidden ones, categories of very different size, one constant column, large offsets."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(n):
+        hidden = [rng.gauss(0, 1) for _ in range(4)]
+        brand = "b0" if rng.random() < 0.34 else f"b{rng.randint(1, 20)}"
+        x = [hidden[j % 4] * (1 + j) + rng.gauss(0, 0.5) + 1000 * (j % 3) for j in range(12)]
+        y = hidden[0] - 0.5 * hidden[1] + (0.7 if brand == "b0" else 0) + rng.gauss(0, 0.2)
+        rows.append((str(i), brand, rng.choice("xyz"), "e", rng.choice("pq"), 15 + hidden[2], 2000 + rng.randint(0, 25), rng.randint(1, 9), *x, 3.5, y))
+    names = [f"num_{j}" for j in range(12)] + ["num_flat"]
+    schema = "series_id string, brand string, level_name string, energy_type string, body_structure string, price_median_wan double, model_year_max int, trim_count int, "
+    return spark.createDataFrame(rows, schema + ", ".join(f"{c} double" for c in names) + ", target_log_sales double"), names
+
+
+def test_elastic_net_from_sums_equals_the_iterative_fit(spark, monkeypatch):
+    data, names = correlated(spark)
+    folded = models.grouped_folds(data.repartition(3), "brand", 4, "md5")
+    specs = models.default_specs(names)[:2]
+    from_sums = {(r.model, r.fold, r.metric): r.value for r in models.cross_validate(folded, specs, 4, digits=12).collect()}
+    monkeypatch.setattr(models.linear, "MAX_COLUMNS", 5)
+    monkeypatch.setitem(models.ELASTIC_NET, "tol", 1e-12)
+    one_by_one = {(r.model, r.fold, r.metric): r.value for r in models.cross_validate(folded, specs, 4, digits=12).collect()}
+    assert from_sums.keys() == one_by_one.keys() and len(from_sums) == 2 * 4 * 6
+    for key, value in one_by_one.items():
+        assert from_sums[key] == pytest.approx(value, abs=1e-6), key
+
+
+def test_levels_are_numbered_like_an_indexer(spark):
+    from pyspark.ml.feature import StringIndexer
+
+    data, _ = correlated(spark)
+    levels = models.linear.category_levels(data, ["brand", "level_name"]).orderBy("position").collect()
+    indexer = StringIndexer(inputCols=["brand", "level_name"], outputCols=["a", "b"]).fit(data)
+    assert [(r.category, r.value) for r in levels] == [(c, v) for c, labels in zip(("brand", "level_name"), indexer.labelsArray) for v in labels]
+    assert [r.position for r in levels] == list(range(len(levels)))
+
+
 def test_metrics_of_fixed_predictions(spark):
     frame = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, 3.0), ("a", 5.0, 4.0)], "k string, y double, p double")
     row = models.regression_metrics(frame, ["k"], "y", "p").first()

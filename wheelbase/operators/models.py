@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wheelbase import vocab
+from wheelbase.operators import linear
 
 LABEL = "target_log_sales"
 # Estimator settings.
 ELASTIC_NET = {"regParam": 0.1, "elasticNetParam": 0.5, "maxIter": 200}
 FOREST = {"numTrees": 70, "maxDepth": 10, "minInstancesPerNode": 2, "seed": 19191}
+NET_PENALTY = (ELASTIC_NET["regParam"], ELASTIC_NET["elasticNetParam"])
 METRICS = ("rmse", "mae", "r2")
 
 
@@ -49,12 +51,14 @@ class ModelSpec:
     estimator: Callable[[], Estimator]
     features: tuple[str, ...] = field(default_factory=tuple)
     scaled: bool = False
+    # Penalty and mix of a linear model, which is then fitted from sums; None fits the estimator on the rows.
+    penalty: tuple[float, float] | None = None
 
 
 def default_specs(features: Sequence[str], forest: Callable[[], Estimator] = forest_model) -> list[ModelSpec]:
     return [
-        ModelSpec("baseline_elastic_net", linear_model, (), True),
-        ModelSpec("full_elastic_net", linear_model, tuple(features), True),
+        ModelSpec("baseline_elastic_net", linear_model, (), True, NET_PENALTY),
+        ModelSpec("full_elastic_net", linear_model, tuple(features), True, NET_PENALTY),
         ModelSpec("full_random_forest", forest, tuple(features), False),
     ]
 
@@ -95,27 +99,48 @@ def regression_metrics(predictions: DataFrame, keys: Sequence[str], label: str =
     return sums.select(*keys, "n_rows", "rmse", "mae", explained.alias("r2"))
 
 
+def _linear_metrics(data: DataFrame, specs: Sequence[ModelSpec], folds: Sequence[int]) -> list | None:
+    """(model, fold, part, rmse, mae, r2) rows of the linear models from sums of products, or None if the design is too wide."""
+    features = list(dict.fromkeys(f for spec in specs for f in spec.features))
+    numbers = [*vocab.NUMERIC_CONTROLS, *features]
+    made = linear.design(data, vocab.CATEGORICAL_CONTROLS, numbers, LABEL)
+    if made is None:
+        return None
+    by_fold = linear.fold_sums(made)
+    total = sum(by_fold.values())
+    fits = []
+    for spec in specs:
+        used = [*range(made.levels), *[made.levels + numbers.index(c) for c in (*vocab.NUMERIC_CONTROLS, *spec.features)]]
+        fits += [(spec.name, fold, *linear.elastic_net(total - by_fold[fold], used, *spec.penalty)) for fold in folds]
+    return linear.metrics_of(linear.error_sums(made, fits)).collect()
+
+
 def cross_validate(
     folded: DataFrame, specs: Sequence[ModelSpec], k: int, digits: int = 6, impute_in_fold: bool = False
 ) -> DataFrame:
     """Long metrics ``(model, fold, metric, value)`` for training and test rows of every fold.
 
-    The driver only loops over models and folds; fitting, prediction and metrics run on the cluster,
-    and all folds of a model are measured in the one aggregate that the returned plan holds.
+    All linear models share two passes over the rows (sums of products, errors). With medians learned inside the folds, or a design
+    wider than the sums allow, they are fitted one by one like the forest; the driver only loops over models and folds then.
     """
     data = folded.persist(StorageLevel.MEMORY_AND_DISK)
-    present = [row.fold for row in data.select("fold").distinct().orderBy("fold").collect()]
+    present = [row.fold for row in data.select("fold").distinct().orderBy("fold").collect() if 0 <= row.fold < k]
     measured: list[tuple] = []
-    for spec in specs:
-        for fold in (f for f in present if 0 <= f < k):
+
+    def add(model: str, fold: int, row) -> None:
+        measured.extend((model, fold, f"{row.part}_{m}", None if row[m] is None else round(float(row[m]), digits)) for m in METRICS)
+
+    from_sums = [] if impute_in_fold else [s for s in specs if s.penalty]
+    rows = _linear_metrics(data, from_sums, present) if from_sums else []
+    for row in rows or []:
+        add(row.model, row.fold, row)
+    for spec in (s for s in specs if rows is None or s not in from_sums):
+        for fold in present:
             fitted = stages_for(spec, impute_in_fold).fit(data.filter(F.col("fold") != fold))
             part = F.when(F.col("fold") == fold, "test").otherwise("train").alias("part")
             predicted = fitted.transform(data).select(part, LABEL, "prediction")
             for row in regression_metrics(predicted, ["part"]).collect():
-                measured += [
-                    (spec.name, fold, f"{row.part}_{m}", None if row[m] is None else round(float(row[m]), digits))
-                    for m in METRICS
-                ]
+                add(spec.name, fold, row)
     data.unpersist()
     return folded.sparkSession.createDataFrame(measured, "model string, fold int, metric string, value double")
 

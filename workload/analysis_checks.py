@@ -260,61 +260,114 @@ def regression_metrics(spark, sf):
     return rows.select("l_returnflag", "n_rows", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("r2", 6).alias("r2"))
 
 
+# Frames that several model queries read, by session and folder; they are stored in the checkpoint folder or small.
+_SHARED: dict[tuple, object] = {}
+
+
+def shared(make):
+    def get(spark, sf):
+        key = (make.__name__, spark.sparkContext.applicationId, sf)
+        if key not in _SHARED:
+            _SHARED[key] = make(spark, sf)
+        return _SHARED[key]
+
+    return get
+
+
+@shared
 def model_data(spark, sf):
-    """Wide analysis set with quantities summed over all months as the target, so every series has one."""
+    """(wide analysis set, selected features); quantities summed over all months are the target, so every series has one."""
     totals = views.measures(spark, sf).groupBy("series_id").agg(F.sum("sales").alias("target_sales"))
-    target = totals.filter(F.col("target_sales").isNotNull()).withColumn("target_log_sales", F.log1p("target_sales"))
-    names = _wide_names(spark)
-    data = features.build_analysis_dataset(views.long_features(spark, sf), views.controls(spark, sf), target, names)
+    target = checkpointed(totals.filter(F.col("target_sales").isNotNull()).withColumn("target_log_sales", F.log1p("target_sales")))
+    long = checkpointed(views.long_features(spark, sf))
+    names = analysis_job.selected_names(features.select_top_features(features.feature_coverage(long, target)))
+    data = features.build_analysis_dataset(long, views.controls(spark, sf), target, names)
     return checkpointed(data), names
 
 
-@check("cv_metrics")
-def cv_metrics(spark, sf):
+@shared
+def all_metrics(spark, sf):
+    """Train and test metrics of the three models on the selected features, five folds held out by brand."""
     data, names = model_data(spark, sf)
-    return models.cross_validate(models.grouped_folds(data, "brand", 5), models.default_specs(names), 5)
+    return models.cross_validate(models.grouped_folds(data, "brand", 5, "md5"), models.default_specs(names), 5)
 
 
-def linear_metrics(spark, sf):
+@shared
+def all_importance(spark, sf):
     data, names = model_data(spark, sf)
-    return models.cross_validate(models.grouped_folds(data, "brand", 3, "md5"), models.default_specs(names)[:2], 3)
+    return checkpointed(models.feature_importance(data, names))
+
+
+def folded_controls(spark, sf):
+    """Controls with filled categories, the summed target and md5 folds by brand."""
+    totals = views.measures(spark, sf).groupBy("series_id").agg(F.sum("sales").alias("target_sales")).filter(F.col("target_sales").isNotNull())
+    joined = features.fill_categories(views.controls(spark, sf).join(totals.withColumn("target_log_sales", F.log1p("target_sales")), "series_id"))
+    return models.grouped_folds(joined, "brand", 5, "md5")
+
+
+_FOLDED_SQL = """, totals AS (SELECT series_id, sum(sales) AS target_sales FROM measures GROUP BY 1 HAVING sum(sales) IS NOT NULL),
+filled AS (SELECT coalesce(brand, '未知') AS brand, coalesce(level_name, '未知') AS level_name, coalesce(energy_type, '未知') AS energy_type,
+    coalesce(body_structure, '未知') AS body_structure, trim_count, ln(target_sales + 1) AS y FROM controls JOIN totals USING (series_id))"""
+
+
+@check("category_levels", with_ctes(("controls", "measures"), _FOLDED_SQL + """
+SELECT category, value, (row_number() OVER (ORDER BY no, n DESC, value) - 1)::INT AS position FROM (
+  SELECT c.no AS no, c.category AS category, c.value AS value, count(*) AS n FROM (SELECT unnest([{'no': 0, 'category': 'brand', 'value': brand},
+    {'no': 1, 'category': 'level_name', 'value': level_name}, {'no': 2, 'category': 'energy_type', 'value': energy_type},
+    {'no': 3, 'category': 'body_structure', 'value': body_structure}]) AS c FROM filled) GROUP BY ALL)"""))
+def category_levels(spark, sf):
+    return models.linear.category_levels(folded_controls(spark, sf), vocab.CATEGORICAL_CONTROLS)
+
+
+@check("fold_covariances", with_ctes(("controls", "measures"), _FOLDED_SQL + """
+SELECT ('0x' || substr(md5(brand), 1, 8))::BIGINT % 5 AS fold, count(*) AS n_rows, round(covar_pop(trim_count, y), 6) AS cov_trims, round(var_pop(y), 6) AS var_label
+FROM filled GROUP BY 1"""))
+def fold_covariances(spark, sf):
+    """The sums that the linear models are fitted from, per fold, as covariances."""
+    made = models.linear.design(folded_controls(spark, sf), vocab.CATEGORICAL_CONTROLS, ["trim_count"], models.LABEL)
+    rows = []
+    for fold, sums in models.linear.fold_sums(made).items():
+        n, trims, label = sums[0, 0], sums[0, -2], sums[0, -1]
+        rows.append((fold, int(n), round(float(sums[-2, -1] / n - trims * label / n**2), 6), round(float(sums[-1, -1] / n - (label / n) ** 2), 6)))
+    return spark.createDataFrame(rows, "fold long, n_rows long, cov_trims double, var_label double")
+
+
+@check("cv_metrics")
+def cv_metrics(spark, sf):
+    return all_metrics(spark, sf)
 
 
 @check("fold_means")
 def fold_means(spark, sf):
-    return models.fold_mean(linear_metrics(spark, sf))
+    return models.fold_mean(all_metrics(spark, sf))
 
 
 @check("incremental_r2")
 def incremental_r2(spark, sf):
-    return models.incremental_r2(linear_metrics(spark, sf))
+    return models.incremental_r2(all_metrics(spark, sf))
 
 
 @check("metric_cards")
 def metric_cards(spark, sf):
-    return overview.metric_cards(linear_metrics(spark, sf))
+    return overview.metric_cards(all_metrics(spark, sf))
 
 
 @check("forest_diagnostics")
 def forest_diagnostics(spark, sf):
-    data, names = model_data(spark, sf)
-    forest = models.default_specs(names)[2]
-    return models.forest_diagnostics(models.cross_validate(models.grouped_folds(data, "brand", 2, "md5"), [forest], 2))
+    return models.forest_diagnostics(all_metrics(spark, sf))
 
 
 @check("importance")
 def importance(spark, sf):
-    data, names = model_data(spark, sf)
-    return models.feature_importance(data, names)
+    return all_importance(spark, sf)
 
 
 @check("importance_table")
 def importance_table(spark, sf):
-    data, names = model_data(spark, sf)
+    _, names = model_data(spark, sf)
     classified = views.classified(spark, sf)
     chosen = classified.filter(F.col("feature_name").isin(*names)).select("feature_name")
-    table = models.importance_table(chosen, classified, models.feature_importance(data, names))
-    return table.orderBy(F.desc("random_forest_importance"), "feature_name")
+    return models.importance_table(chosen, classified, all_importance(spark, sf)).orderBy(F.desc("random_forest_importance"), "feature_name")
 
 
 # ------------------------------------------------------------------ evidence
