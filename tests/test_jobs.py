@@ -208,3 +208,20 @@ def test_entry_and_registry(spark):
     assert contract.entry(spark).count() > 0
     queries, oracle = contract.queries(), contract.oracle_sql()
     assert set(oracle) <= set(queries) and len(oracle) >= 90
+
+
+def test_fingerprints_follow_the_data_of_every_format(spark, tmp_path):
+    rows = spark.range(500).selectExpr("id", "concat('v', id) AS v")
+    for kind in ("parquet", "csv"):
+        found = set()
+        for name, frame in (("a", rows), ("b", rows.union(rows.limit(1))), ("c", rows.withColumn("id", F.col("id") + 1))):
+            folder = str(tmp_path / kind / name)
+            getattr(frame.coalesce(1).write, kind)(f"{folder}/inner")
+            # The same table below another folder, hashed whole and by rows.
+            found.add(tables.dataset_fingerprint(spark, folder).first()[0])
+            by_rows = [tables.file_digests(spark, folder, whole_file_bytes=limit).select("digest").first()[0] for limit in (0, 10)]
+            assert by_rows[0] == by_rows[1]
+            found.add(by_rows[0])
+        assert len(found) == 6
+    names = [r.name for r in tables.file_digests(spark, str(tmp_path / "csv" / "a")).collect()]
+    assert len(names) == 1 and names[0].startswith("inner/part-")

@@ -50,6 +50,17 @@ def test_missing_optional_fields_still_score(items, request_frame):
     assert all(0 <= r.score <= 100 for r in ranked["base"])
 
 
+def test_endless_numbers_stop_no_batch(spark, items, request_frame, monkeypatch):
+    raw = request_frame(endless={"budget_max_wan": "1e999"}, long_limit={"limit": "1e30"})
+    for few in (64, 0):
+        monkeypatch.setattr(recommend, "FEW", few)
+        ranked, envelope, rejected = answer(items, raw)
+        assert envelope["endless"].total_candidates == 5 and len(ranked["endless"]) == 5 and len(ranked["base"]) == 4
+        assert rejected["long_limit"].code == "INVALID_LIMIT"
+    bodies = spark.createDataFrame([("a", '{"budget_min_wan": 1, "budget_max_wan": 2, "limit": 1e30}')], "request_id string, body string")
+    assert [r.code for r in requests.validate_requests(requests.requests_from_json(bodies, "body"))[1].collect()] == ["INVALID_LIMIT"]
+
+
 def test_request_without_candidates_keeps_an_envelope(items, request_frame):
     ranked, envelope, _ = answer(items, request_frame(none={"budget_min_wan": "1", "budget_max_wan": "2"}))
     assert "none" not in ranked and envelope["none"].total_candidates == 0

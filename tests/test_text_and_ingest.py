@@ -133,6 +133,21 @@ def test_listing_merge_and_tables(spark, tmp_path):
     }
 
 
+def test_one_bad_value_stops_nothing(spark, tmp_path):
+    merged = spark.createDataFrame([(str(i), f"n{i}", 1.0, 2.0, [], []) for i in range(1, 5)], "series_id string, name string, list_price_min double, "
+                                   "list_price_max double, body_hints array<string>, energy_hints array<string>")
+    options = spark.createDataFrame([("1", json.dumps(PAYLOAD)), ("2", "{")], "series_id string, body string")
+    huge = "<table><tr><td>2026-01</td><td>99999999999</td></tr><tr><td>2026-02</td><td>12</td></tr><tr><td>2026-03</td></tr><tr></tr></table>"
+    measures = spark.createDataFrame([("3", PAGE), ("4", huge)], "series_id string, html string")
+    counts = {r.table_name: r.n_rows for r in ingest_job.run(merged, options, measures, "2026-07-10", str(tmp_path / "out")).collect()}
+    assert counts["series"] == 4 and counts["series_month_sales"] == 5 and counts["failures"] == 2
+    written = spark.read.parquet(str(tmp_path / "out" / "series_month_sales.parquet")).filter("series_id = '4'").collect()
+    assert {(r.sales_period, r.sales) for r in written} == {("2026-01", None), ("2026-02", 12)}
+    record = spark.read.json(str(tmp_path / "out" / "manifest.json")).first()
+    assert {(f.failure, f.n, f.first_series) for f in record.failures} == {("load-options", 1, "2"), ("parse-sales", 1, "4")}
+    assert record.selected_series == 4 and record.counts.trims == counts["trims"] and record.captured_at == "2026-07-10" and record.build_only
+
+
 def test_manual_candidates_take_the_inferred_name(spark):
     good, bad = ingest.manual_candidates(spark.createDataFrame([(" 1 ",), ("x",)], "series_id string"))
     assert [r.series_id for r in bad.collect()] == ["x"]

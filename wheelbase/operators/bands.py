@@ -18,8 +18,13 @@ SLICE_ROWS = 20_000
 ANY = ""
 
 
+# Prices outside share the first and the last bucket, so an endless band covers few of them.
+LOWEST, HIGHEST = 1e-4, 1e9
+
+
 def bucket(price: Column) -> Column:
-    return F.floor(F.log(price) / F.lit(math.log(BUCKET_RATIO))).cast("int")
+    inside = F.least(F.greatest(price, F.lit(LOWEST)), F.lit(HIGHEST))
+    return F.floor(F.log(inside) / F.lit(math.log(BUCKET_RATIO))).cast("int")
 
 
 def _over_buckets(df: DataFrame, low: Column, high: Column) -> DataFrame:

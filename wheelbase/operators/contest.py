@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wheelbase.operators.bands import SLICE_ROWS, band_join, sliced
+from wheelbase.operators.bands import HIGHEST, LOWEST, SLICE_ROWS, band_join, sliced
 from wheelbase.staging import checkpointed
 
 CELL_RATIO = 1.05
@@ -27,7 +27,8 @@ LEADERS = 5
 
 def with_cells(items: DataFrame, price: Column) -> DataFrame:
     """Items with ``cell``, 128 bits of price bucket and classes."""
-    bucket = F.floor(F.log(price) / F.lit(math.log(CELL_RATIO)))
+    inside = F.least(F.greatest(price, F.lit(LOWEST)), F.lit(HIGHEST))
+    bucket = F.floor(F.log(inside) / F.lit(math.log(CELL_RATIO)))
     classes = [bucket, "body_type", "energy_type", F.to_json(F.array_sort("scenario_tags")), F.col("scenario_tags").isNull()]
     return items.withColumn("cell", F.struct(F.xxhash64(*classes).alias("a"), F.xxhash64(F.lit(1), *classes).alias("b")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -218,17 +218,35 @@ def html_table_rows(
     links: vocab.SiteLinks = vocab.SiteLinks(),
     strip_separators: bool = True,
 ) -> DataFrame:
-    """Monthly rows of the first table: period in cell 0, measure in cell 1, five optional cells."""
+    """Monthly rows of the first table: period in cell 0, measure in cell 1, five optional cells.
+
+    A measure too large for its column is open; ``measure_failures`` names its page.
+    """
+    return monthly_rows(page_cells(pages, html), captured_at, links, strip_separators)
+
+
+def page_cells(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(series_id, cells) of every table row that starts with a period; the one step that reads the pages."""
     cells = pages.select("series_id", F.explode(_table_cells(html)).alias("cells"))
-    kept = cells.filter((F.size("cells") >= 2) & F.element_at("cells", 1).rlike(PERIOD_PATTERN))
+    return cells.filter((F.size("cells") >= 2) & F.get("cells", F.lit(0)).rlike(PERIOD_PATTERN))
+
+
+def measure_failures(cells: DataFrame, strip_separators: bool = True) -> DataFrame:
+    """One row per series that has a measure no integer column can hold."""
+    number = text.first_number(F.get("cells", F.lit(1)), strip_separators)
+    bad = cells.filter(number.isNotNull() & number.try_cast("int").isNull())
+    return bad.select("series_id").distinct().withColumn("failure", F.lit("parse-sales"))
+
+
+def monthly_rows(cells: DataFrame, captured_at: str, links: vocab.SiteLinks = vocab.SiteLinks(), strip_separators: bool = True) -> DataFrame:
     optional = [
         F.coalesce(F.get("cells", F.lit(position)), F.lit("")).alias(name)
         for position, name in enumerate(MEASURE_CELLS, start=2)
     ]
-    return kept.select(
+    return cells.select(
         "series_id",
-        F.element_at("cells", 1).alias("sales_period"),
-        text.first_number(F.element_at("cells", 2), strip_separators).cast("int").alias("sales"),
+        F.get("cells", F.lit(0)).alias("sales_period"),
+        text.first_number(F.get("cells", F.lit(1)), strip_separators).try_cast("int").alias("sales"),
         *optional,
         _link(links.sales, F.col("series_id")).alias("sales_url"),
         F.lit(captured_at).alias("captured_at"),
@@ -457,6 +475,23 @@ def failures(payloads: DataFrame) -> DataFrame:
     return payloads.filter(F.col("problem").isNotNull()).select("series_id", F.col("problem").alias("failure"))
 
 
+def manifest_record(
+    spark: SparkSession, counts: Mapping[str, int], failed: DataFrame, selected: int, captured_at: str, generated_at: str, source: str, build_only: bool = True,
+) -> DataFrame:
+    """One record about an ingest run: source, scope, times, selected series, rows per table and failures by kind.
+
+    ``counts`` are those that the writes themselves observed; failures are listed by kind with their number and first series.
+    """
+    scope = "cached series, full attributes and measure history" if build_only else "listed series, full attributes and measure history"
+    kinds = failed.groupBy("failure").agg(F.count("*").alias("n"), F.min("series_id").alias("first_series"))
+    listed = kinds.agg(F.array_sort(F.collect_list(F.struct("failure", "n", "first_series"))).alias("failures"))
+    return listed.select(
+        F.lit(source).alias("data_source"), F.lit(scope).alias("scope"), F.lit(captured_at).alias("captured_at"), F.lit(generated_at).alias("generated_at"),
+        F.lit(selected).cast("long").alias("selected_series"),
+        F.struct(*[F.lit(n).cast("long").alias(name) for name, n in counts.items()]).alias("counts"), "failures", F.lit(build_only).alias("build_only"),
+    )
+
+
 def ingest_manifest(tables: Mapping[str, DataFrame], failed: DataFrame) -> DataFrame:
     """Row count per table, and one row for the failures."""
     counts = None

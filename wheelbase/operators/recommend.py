@@ -168,7 +168,8 @@ def price_basis() -> Column:
 def price_score() -> Column:
     middle = (F.col("budget_min_wan") + F.col("budget_max_wan")) / 2
     span = F.greatest(F.col("budget_max_wan") - F.col("budget_min_wan"), F.lit(1.0))
-    return F.greatest(F.lit(0.0), 1 - F.abs(price_basis() - middle) / span)
+    # An endless band has no middle; no price is near to it.
+    return F.nanvl(F.greatest(F.lit(0.0), 1 - F.abs(price_basis() - middle) / span), F.lit(0.0))
 
 
 def price_factor() -> Column:

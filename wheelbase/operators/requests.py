@@ -118,7 +118,7 @@ def requests_from_json(df: DataFrame, body: str, key: str = "request_id") -> Dat
     is_bool = lambda path: kind(path) == "BOOLEAN"
     whole = lambda path: F.when(
         kind(path).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"),
-        F.try_variant_get("v", path, "double").cast("bigint").cast("string"),
+        F.try_variant_get("v", path, "double").try_cast("bigint").cast("string"),
     ).otherwise(as_text(path))
     brands = F.try_variant_get("v", "$.brands", "array<string>")
     falsy = kind("$.brands").isin("ABSENT", "VOID") | as_text("$.brands").isin("", "0", "false")

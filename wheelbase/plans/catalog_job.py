@@ -27,11 +27,11 @@ def run(
         return catalog.assemble(*frames, energy_rules=catalog_rules.energy_rules)
 
     raw = checkpointed(tables.source_switch(spark, source, assemble))
-    tables.write_parquet(catalog.clean_catalog(raw, catalog_rules), f"{output}/cars.parquet")
+    n_out = tables.write_counted(catalog.clean_catalog(raw, catalog_rules), f"{output}/cars.parquet")
     cleaned = spark.read.parquet(f"{output}/cars.parquet")
     tables.write_csv(catalog.export_form(cleaned), f"{output}/cars.csv")
     results = catalog_statistics(cleaned)
-    accounting = summary.row_accounting(raw, cleaned)
+    accounting = summary.accounted(spark, raw.count(), n_out)
     results["rows"] = accounting
     results["metadata"] = tables.run_metadata(
         spark, accounting, tables.dataset_fingerprint(spark, source), source, f"{output}/cars.csv",

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wheelbase import schemas, vocab
@@ -102,6 +103,13 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def write_counted(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
+    """Write and return the number of rows, counted by the write itself."""
+    seen = Observation()
+    write_parquet(df.observe(seen, F.count(F.lit(1)).alias("n_rows")), path, partition_by)
+    return seen.get["n_rows"]
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Headered CSV parts, written in parallel."""
     df.write.mode("overwrite").options(**CSV_OPTIONS, emptyValue="").csv(path)
@@ -136,18 +144,37 @@ def typed_catalog_load(spark: SparkSession, path: str) -> DataFrame:
     return typed_catalog(scan_csv(spark, path, text_schema))
 
 
-def dataset_fingerprint(spark: SparkSession, path: str, pattern: str = "*.csv*") -> DataFrame:
-    """SHA-256 of a file, or of a folder's sorted (name, digest) list, as one row.
+# Files up to this size are hashed as one value; larger ones by their rows, in as many tasks as they have splits.
+WHOLE_FILE_BYTES = 1 << 30
+DATA_FILES = "*.{csv,gz,json,parquet}"
 
-    The list has one short entry per file, like the file listing the driver already holds.
+
+def file_digests(spark: SparkSession, path: str, pattern: str = DATA_FILES, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """(name, digest) of every data file below ``path``, names relative to it.
+
+    A larger file's digest is taken from the number, xor and sum of the hashes of its lines, or of its rows for Parquet, so no
+    value has to hold the file and the order in which tasks read it does not matter. Its listing entry is all that the driver sees of it.
     """
     folder = is_directory(spark, path)
-    reader = spark.read.format("binaryFile")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", pattern) if folder else reader).load(path)
-    digests = files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest")
-    )
-    if not folder:
+    root = _path_api(spark, path)[0].toUri().getPath().rstrip("/")
+    name = F.regexp_replace(F.regexp_replace("path", r"^[a-zA-Z0-9+.-]+:(//[^/]*)?", ""), "^" + re.escape(root) + "/?", "")
+    digests = files.filter(F.col("length") <= whole_file_bytes).select(name.alias("name"), F.sha2("content", 256).alias("digest"))
+    for large in files.filter(F.col("length") > whole_file_bytes).select("path", name.alias("name")).collect():
+        rows = spark.read.parquet(large.path) if large.path.endswith(".parquet") else spark.read.text(large.path)
+        text = F.concat_ws(" ", "n_rows", "row_hash", "row_sum")
+        digests = digests.unionByName(table_fingerprint(rows).select(F.lit(large.name).alias("name"), F.sha2(text, 256).alias("digest")))
+    return digests
+
+
+def dataset_fingerprint(spark: SparkSession, path: str, pattern: str = DATA_FILES, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """SHA-256 of a file, or of a folder's sorted (name, digest) list with all of its sub-folders, as one row.
+
+    The list has one short entry per file, like the file listing the driver already holds.
+    """
+    digests = file_digests(spark, path, pattern, whole_file_bytes)
+    if not is_directory(spark, path):
         return digests.select(F.col("digest").alias("fingerprint"))
     ordered = F.array_sort(F.collect_list(F.struct("name", "digest")))
     joined = F.array_join(F.transform(ordered, lambda f: F.concat(f["name"], f["digest"])), "")
@@ -155,8 +182,9 @@ def dataset_fingerprint(spark: SparkSession, path: str, pattern: str = "*.csv*")
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free digest of a table of any size: row count and xor of row hashes."""
-    return df.agg(F.count("*").alias("n_rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("row_hash"))
+    """Order-free digest of a table of any size: row count, xor and sum of row hashes."""
+    hashed = F.xxhash64(*df.columns)
+    return df.agg(F.count("*").alias("n_rows"), F.bit_xor(hashed).alias("row_hash"), F.sum(hashed.cast("decimal(38,0)")).alias("row_sum"))
 
 
 def run_metadata(spark: SparkSession, accounting: DataFrame, fingerprint: DataFrame, source: str, output: str, label: str) -> DataFrame:

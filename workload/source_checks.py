@@ -11,6 +11,7 @@ from wheelbase.operators import catalog, evidence, overview, summary
 from wheelbase.plans import analysis_job, overview_job
 from wheelbase.session import ensure_checkpoint_dir
 from wheelbase.sources import tables
+from wheelbase.staging import checkpointed
 from workload import views
 from workload.analysis_checks import OVERVIEW_SQL, evidence_frames
 from workload.ctes import with_ctes
@@ -109,11 +110,27 @@ def dataset_fingerprint(spark, sf):
     return tables.dataset_fingerprint(spark, sf, "*.parquet")
 
 
-@check("run_metadata")
+@check("file_lines", with_ctes(("measures",), """
+SELECT n_rows, n_files FROM (SELECT count(*) AS n_rows FROM measures), (SELECT 1 AS n_files)"""))
+def file_lines(spark, sf):
+    """A written file hashed by its lines: as many as rows, and a fingerprint that follows from them."""
+    folder = new_folder(spark)
+    views.measures(spark, sf).coalesce(1).write.csv(folder)
+    digests = tables.file_digests(spark, folder, whole_file_bytes=0)
+    lines = tables.table_fingerprint(spark.read.text(folder)).select("n_rows")
+    return lines.withColumn("n_files", digests.agg(F.count("*").cast("int")).scalar())
+
+
+@check("run_metadata", with_ctes(("assembled", "catalog"), """
+SELECT 'parts' AS data_source, input_rows, output_rows, input_rows - output_rows AS removed_rows
+FROM (SELECT count(*) AS input_rows FROM assembled), (SELECT count(*) AS output_rows FROM catalog)"""))
 def run_metadata(spark, sf):
-    raw = views.table(spark, sf, "part")
-    accounting = summary.row_accounting(raw, raw.filter(F.col("p_size") > 3))
-    return tables.run_metadata(spark, accounting, tables.dataset_fingerprint(spark, sf, "*.parquet"), sf, "out", "parts")
+    """The record of a cleaning run whose counts come from the write, without its times, paths and digests."""
+    raw = checkpointed(views.assembled(spark, sf))
+    n_out = tables.write_counted(catalog.clean_catalog(raw), f"{new_folder(spark)}/cars.parquet")
+    record = tables.run_metadata(spark, summary.accounted(spark, raw.count(), n_out), tables.dataset_fingerprint(spark, sf), sf, "out", "parts")
+    return record.filter("length(input_sha256) = 64 AND generated_at IS NOT NULL AND spark_version IS NOT NULL").select(
+        "data_source", "input_rows", "output_rows", "removed_rows")
 
 
 def _write_artifacts(spark, sf, folder: str) -> None:
