@@ -102,7 +102,7 @@ def univariate_associations(
     pairs = feature_pairs(features, target, controls)
     correlated = spearman(pairs, ["feature_name", "least"], "x", "y", ranges).filter(F.col("n") >= F.col("least"))
     named = correlated.select("feature_name", "n", F.col("rho").alias("spearman_rho"))
-    return fdr_bh(stage(with_spearman_p(named, "spearman_rho", "n")), "p_value", ranges)
+    return fdr_bh(stage(with_spearman_p(named, "spearman_rho", "n")), "p_value", ranges=ranges)
 
 
 def association_order() -> list:
