@@ -41,14 +41,14 @@ def pearson(df: DataFrame, group: Sequence[str], x: str, y: str, weight: str | N
     return sums.select(*group, "n", F.when((n >= 3) & F.col("varied") & (spread > 0), cross / F.sqrt(spread)).alias("rho"))
 
 
-def spearman(df: DataFrame, group: Sequence[str], x: str, y: str, ranges: int | None = None) -> DataFrame:
+def spearman(df: DataFrame, group: Sequence[str], x: str, y: str, ranges: int | None = None, stage=checkpointed) -> DataFrame:
     """Pearson correlation of average ranks per group.
 
-    Equal (x, y) pairs are folded to one counted row first; ranks are joined to that smaller table.
+    Equal (x, y) pairs are folded to one counted row first and stored, so ``df`` is evaluated once; ranks are taken from and joined to that smaller table.
     """
-    pairs = df.groupBy(*group, x, y).agg(F.count("*").alias("_w"))
-    rank_x = average_ranks(df, group, x, "rank_x", ranges).drop("n_ties")
-    rank_y = average_ranks(df, group, y, "rank_y", ranges).drop("n_ties")
+    pairs = stage(df.groupBy(*group, x, y).agg(F.count("*").alias("_w")))
+    rank_x = average_ranks(pairs, group, x, "rank_x", ranges, stage, "_w").drop("n_ties")
+    rank_y = average_ranks(pairs, group, y, "rank_y", ranges, stage, "_w").drop("n_ties")
     ranked = pairs.join(rank_x, [*group, x]).join(rank_y, [*group, y])
     # Doubled ranks are whole numbers, so the sums are exact as long as they fit a double.
     doubled = ranked.withColumns({"rank_x": F.col("rank_x") * 2, "rank_y": F.col("rank_y") * 2})
@@ -100,7 +100,7 @@ def univariate_associations(
     The correlations (one row per feature) are written once; the adjustment reads them several times.
     """
     pairs = feature_pairs(features, target, controls)
-    correlated = spearman(pairs, ["feature_name", "least"], "x", "y", ranges).filter(F.col("n") >= F.col("least"))
+    correlated = spearman(pairs, ["feature_name", "least"], "x", "y", ranges, stage).filter(F.col("n") >= F.col("least"))
     named = correlated.select("feature_name", "n", F.col("rho").alias("spearman_rho"))
     return fdr_bh(stage(with_spearman_p(named, "spearman_rho", "n")), "p_value", ranges=ranges)
 

@@ -78,13 +78,15 @@ def numbered(
 
 
 def average_ranks(
-    df: DataFrame, group: Sequence[str], value: str, name: str = "rank", ranges: int | None = None, stage=checkpointed
+    df: DataFrame, group: Sequence[str], value: str, name: str = "rank", ranges: int | None = None, stage=checkpointed, weight: str | None = None
 ) -> DataFrame:
     """Rank of each distinct value in its group, ties averaged: one row per (group, value).
 
-    Repeated values are counted on the map side, so a frequent value is one row before it is shuffled.
+    Repeated values are counted on the map side, so a frequent value is one row before it is shuffled. With
+    ``weight``, each row stands for that many equal rows.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n_ties"))
+    rows = F.count("*") if weight is None else F.sum(weight)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(rows.alias("n_ties"))
     placed = with_sums_before(counted, group, [value], {"before": F.col("n_ties")}, ranges, stage)
     return placed.select(
         *group, value, (F.col("before") + (F.col("n_ties") + 1) / 2).alias(name), F.col("n_ties")
