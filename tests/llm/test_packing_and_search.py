@@ -1,5 +1,4 @@
 import zlib
-from itertools import combinations
 
 import numpy as np
 import pytest
@@ -142,8 +141,7 @@ def test_pipeline(spark, folder, docs, clashing):
 
 
 def test_every_numbered_query_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
-    assert len(list(combinations(QUERIES, 2))) == 45
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_added_tokens_in_texts_keep_their_ids(spark):
