@@ -6,6 +6,7 @@ import numpy as np
 from conftest_llm import ROWS, rows
 
 from wheelbase.llm import byte_repeats, line_dedup, near_dedup, unit_dedup
+from wheelbase.llm.frames import versions
 
 WITH_ID = [r for r in ROWS if r[0] is not None]
 
@@ -138,16 +139,31 @@ def test_a_text_over_the_part_size_is_parsed_without_losing_a_window():
     assert windows(whole) == windows(cut) == [s for a, b in zip(offsets, offsets[1:]) for s in range(a, b - 49)]
 
 
-def brute_units(table, min_words):
-    owner, split = {}, {}
-    for i, t in sorted({(i, t or "") for i, t in table}):
-        split[i] = unit_dedup.units(t)
-        for n, (a, b) in enumerate(split[i]):
-            owner.setdefault(" ".join(t[a:b].lower().split()), (i, n))
+def cut_sentences(t):
+    out, first, at = [], 0, 0
+    while at < len(t):
+        end = at
+        if t[at] == "\n":
+            end = at + 1
+        elif at and t[at - 1] in ".!?":
+            while end < len(t) and t[end] in " \t":
+                end += 1
+        if end > at:
+            out.append((first, at))
+            first = end
+        at = max(end, at + 1)
+    return [(a, b) for a, b in [*out, (first, len(t))] if t[a:b].strip()]
+
+
+def brute_units(table, min_words, version):
+    owner = {}
+    for i, t in sorted({(i, t or "") for i, t in table}, key=lambda r: (r[0], version[r])):
+        for n, (a, b) in enumerate(cut_sentences(t)):
+            owner.setdefault(" ".join(t[a:b].lower().split()), (i, t, n))
     out = []
     for i, t in table:
-        t, spans, gone, at = t or "", split[i], [], 0
-        again = [owner[" ".join(t[a:b].lower().split())] != (i, n) for n, (a, b) in enumerate(spans)]
+        t, spans, gone, at = t or "", cut_sentences(t or ""), [], 0
+        again = [owner[" ".join(t[a:b].lower().split())] != (i, t, n) for n, (a, b) in enumerate(spans)]
         while at < len(spans):
             end = at
             while end < len(spans) and again[end]:
@@ -161,7 +177,8 @@ def brute_units(table, min_words):
 
 
 def test_unit_dedup_equals_brute_force(docs, clashing, empty):
-    want = brute_units([(r[0], r[1]) for r in WITH_ID], unit_dedup.MIN_WORDS)
+    version = {(r.doc_id, r.text): r.version for r in versions(docs).collect()}
+    want = brute_units([(r[0], r[1]) for r in WITH_ID], unit_dedup.MIN_WORDS, version)
     assert {r[0] for r in want if r[2]} >= {2, 9}
     assert rows(unit_dedup.deduplicate(docs), "doc_id", "n_units", "n_removed", "kept_text") == want
     assert rows(unit_dedup.deduplicate(clashing), "doc_id", "n_units", "n_removed", "kept_text") == want
@@ -169,6 +186,40 @@ def test_unit_dedup_equals_brute_force(docs, clashing, empty):
     assert unit_dedup.units("a\n\nb c\nd", "paragraph") == [(0, 1), (3, 8)]
 
 
+SEVERAL = [
+    (1, "common words here. a tail of doc one"),
+    (2, "common words here. something else"),
+    (2, "found in no other text. common words here"),
+    (2, "found in no other text. common words here"),
+    (2, "second place twice.\nsecond place twice."),
+    (3, None),
+    (3, "a tail of doc one\tand\nmore! common  WORDS here."),
+]
+
+
+def test_units_of_several_texts_under_one_id(spark):
+    docs = spark.createDataFrame(SEVERAL, "doc_id long, text string")
+    version = {(r.doc_id, r.text): r.version for r in versions(docs).collect()}
+    made = unit_dedup.deduplicate(docs, min_words=1)
+    assert rows(made, "doc_id", "n_units", "n_removed", "kept_text") == brute_units(SEVERAL, 1, version)
+    kept = " ".join(r.kept_text for r in made.collect())
+    assert all(" ".join(t[a:b].lower().split()) in " ".join(kept.lower().split()) for _, t in SEVERAL if t for a, b in cut_sentences(t))
+
+
+def test_sets_of_several_texts_under_one_id(spark, folder):
+    p, q, z = (" ".join(f"{c}{n}" for n in range(60)) for c in "pqz")
+    table = [(1, p), (1, q), (1, q), (6, p + " yy"), (4, q + " x"), (7, z), (7, p), (7, None), (9, z), (None, p)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    named = [r for r in table if r[0] is not None]
+    sets, label = brute_components(list(enumerate(t for _, t in named)), 3, 85)
+    lowest = {}
+    for n, c in label.items():
+        lowest[c] = min(lowest.get(c, 10**9), named[n][0])
+    want = sorted(((named[n][0], len(sets[n]), lowest[label[n]], lowest[label[n]] == named[n][0]) for n in label), key=repr)
+    assert rows(near_dedup.near_duplicates(docs, 3, 85), "doc_id", "n_shingles", "component_id", "kept") == want
+    assert rows(near_dedup.stage(spark, docs, folder)) == sorted([(1, p), (1, q), (1, q), (7, z), (7, None), (None, p)], key=repr)
+
+
 def test_probe_groups_follow_the_number_of_holdings(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "ROWS_PER_GROUP", 100)
     common = "this one line is found in a handful of documents only"

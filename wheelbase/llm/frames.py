@@ -27,6 +27,11 @@ def texts(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id")
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).filter("doc_id is not null")
 
 
+def versions(docs: DataFrame) -> DataFrame:
+    """``texts`` with ``version``, a 64-bit number of the text: (doc_id, version) tells the rows of one doc_id apart, and rows equal in both are one document."""
+    return texts(docs).withColumn("version", F.xxhash64("text"))
+
+
 def bucket_of_id(modulus: int, column: str = "doc_id"):
     """crc32 of the id's decimal text, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

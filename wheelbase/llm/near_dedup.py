@@ -1,7 +1,7 @@
 """MinHash near-duplicate detection: one permutation, optimal densification, bands, star-shaped candidates, exact check.
 
-1. A document's set holds the fingerprints of its distinct k-word shingles (`words.py`). Equal sets collapse to their smallest
-   doc_id at once, so a group of a million copies is one row from here on.
+1. A document's set holds the fingerprints of its distinct k-word shingles (`words.py`). Equal sets collapse to one
+   representative at once, so a group of a million copies is one row from here on.
 2. One pass over the sorted set fills all bins (a bin takes the smallest fingerprint that falls into it). An empty bin borrows
    from the occupied bin that comes first in an order drawn for that bin alone, which is the densification with the least variance.
 3. Bins form bands; equal bands are a bucket. The number of bands follows from the threshold, so that a pair at the threshold is missed
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wheelbase.llm.frames import stored, table, texts
+from wheelbase.llm.frames import stored, table, versions
 from wheelbase.llm.graph import components
 from wheelbase.llm.words import U, Words, keyed, mix, pieces
 
@@ -57,7 +57,7 @@ def one_permutation(values: np.ndarray, bins: int, order: np.ndarray) -> np.ndar
 
 
 def signatures(docs: DataFrame, k: int, threshold: float, rows: int = ROWS_PER_BAND) -> DataFrame:
-    """(doc_id, n_shingles long, digest binary, bands array<long>) per row of ``docs`` (doc_id, text); no digest and bands for an empty set."""
+    """(doc_id, version, n_shingles long, digest binary, bands array<long>) per row of ``docs`` (doc_id, text, version); no digest and bands for an empty set."""
     n_bands = bands_for(threshold, rows)
     bins = n_bands * rows
 
@@ -75,13 +75,13 @@ def signatures(docs: DataFrame, k: int, threshold: float, rows: int = ROWS_PER_B
                         bands.append(mix((mix(bin_values) * weight).sum(axis=1, dtype=U) + tags).view(np.int64))
                     else:
                         bands.append(None)
-                yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(count, pa.int64()), "digest": pa.array(digest, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+                yield pa.record_batch({"doc_id": batch.column("doc_id"), "version": batch.column("version"), "n_shingles": pa.array(count, pa.int64()), "digest": pa.array(digest, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select("doc_id", "text", "version").mapInArrow(sign, "doc_id long, version long, n_shingles long, digest binary, bands array<long>")
 
 
 def intersections(pairs: DataFrame, held: DataFrame, k: int, deltas: bool = False) -> DataFrame:
-    """(a, b, both, union): sizes counted on the full sets of both texts; ``held`` has one text per id.
+    """(a, b, both, union): sizes counted on the full sets of both texts; ``held`` has one text per representative.
 
     With ``deltas`` also ``lacks`` (shingles of b that a has not) and ``adds`` (the reverse); null where they are more than a's set together.
     """
@@ -106,7 +106,7 @@ def intersections(pairs: DataFrame, held: DataFrame, k: int, deltas: bool = Fals
                     made |= {"lacks": pa.array(lacks, pa.list_(pa.int64())), "adds": pa.array(adds, pa.list_(pa.int64()))}
                 yield pa.record_batch(made)
 
-    both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = pairs.join(held.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, schema)
 
 
@@ -117,7 +117,7 @@ def private_counts(held: DataFrame, k: int) -> DataFrame:
         for whole in batches:
             for batch in pieces(whole):
                 sets = Words(batch.column("text")).sets(k)
-                yield pa.record_batch({"rep": batch.column("doc_id"), "shingles": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
+                yield pa.record_batch({"rep": batch.column("rep"), "shingles": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
 
     cut_ = held.mapInArrow(cut, "rep long, shingles array<long>")
     alone = cut_.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).filter("n = 1")
@@ -125,7 +125,7 @@ def private_counts(held: DataFrame, k: int) -> DataFrame:
 
 
 def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, component) of all representatives with a link; ``sets`` holds one row (rep, n, bands) per distinct set.
+    """(node, component) of all representatives with a link; ``sets`` holds one row (rep, source, n, bands) per distinct set, ``source`` being (doc_id, version) of a text with it.
 
     Exact bounds keep pairs out before any text is compared; none can lose a link. A shingle that no other candidate holds is private, so two sets share
     at most the smaller n - private. Once all members of a bucket are compared with its pivot, two of them share at most the smaller intersection with
@@ -135,8 +135,8 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     banded = sets.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
     active = stored(banded.join(shared, "bucket"))
-    reps = active.select(F.col("rep").alias("doc_id")).distinct()
-    held = stored(docs.join(reps, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+    reps = sets.join(active.select("rep").distinct(), "rep", "left_semi").select("rep", "source.*")
+    held = stored(docs.join(reps, ["doc_id", "version"]).groupBy("rep").agg(F.max("text").alias("text")))
     active = active.join(private_counts(held, k), "rep", "left").select("bucket", "rep", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("common"))
     active = active.filter(100 * F.col("common") >= percent * F.col("n"))
     several = active.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
@@ -207,15 +207,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Two documents are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the smallest doc_id reachable.
     A text that is null, empty or blank has an empty set, is linked with nothing and is kept. A text with fewer than k words has its whole sequence as its
-    only shingle. Repeated rows get equal result rows. An empty table gives no rows. Other columns are ignored.
+    only shingle. Repeated rows get equal result rows; rows of one doc_id with different texts are told apart.
+    Rows without doc_id are left out. An empty table gives no rows. Other columns are ignored.
     """
-    docs = texts(docs)
+    return numbered(docs, k, percent).drop("version")
+
+
+def numbered(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with the version of each row's text."""
+    docs = versions(docs)
     signed = stored(signatures(docs, k, percent / 100))
-    sets = stored(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    labels = links(sets.select("rep", "n", "bands"), docs, k, percent)
-    groups = sets.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    sets = signed.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "version")).alias("source"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    # A representative is a number of its own, not a doc_id: a doc_id may have several texts. It is drawn once, as the table is written.
+    sets = stored(sets.withColumn("rep", F.monotonically_increasing_id()))
+    labels = links(sets, docs, k, percent)
+    groups = sets.select("digest", "rep", "source.doc_id").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    smallest = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    groups = groups.join(smallest, "component").select("digest", "component_id")
+    out = signed.select("doc_id", "version", "n_shingles", "digest").join(groups, "digest", "left")
+    out = out.select("doc_id", "version", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
@@ -224,6 +234,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays (the smallest id); k = 5 and 0.8 as for all stages on shingles."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group stays (the smallest id); k = 5 and 0.8 as for all stages on shingles. Another text of a document that goes is judged on its own."""
+    gone = numbered(docs, 5, 80).filter("not kept").select("doc_id", "version").distinct()
+    mine = (docs["doc_id"].cast("long") == gone["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["version"])
+    return docs.join(gone, mine, "left_anti")

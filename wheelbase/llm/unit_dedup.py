@@ -2,7 +2,7 @@
 
 A text is cut into paragraphs (at blank lines), lines, or the sentences of its lines; the finest level also finds passages that start in the middle of
 a line. A unit is normalised (lower case, runs of white space as one space, ends trimmed) and told by 128 bits. Digests are grouped over the corpus, and the
-earliest occurrence, in the order (doc_id, position), is its owner. Later ones are repeats. Repeats that follow each other in a document form
+earliest occurrence, in the order (doc_id, version of its text, position), is its owner. Later ones are repeats. Repeats that follow each other in a document form
 a run, and a run of at least ``min_words`` words is removed, so short phrases that many clean texts share stay where they are.
 
 Grouping keeps one minimum per digest and combines before the shuffle; digests that occur once never meet the documents again; the join that tells each
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wheelbase.llm.frames import stored, table, texts
+from wheelbase.llm.frames import stored, table, versions
 from wheelbase.llm.words import pieces
 
 MIN_WORDS = 15
@@ -46,34 +46,36 @@ def unit_digest(unit: str) -> tuple[bytes, int]:
 
 
 def hashed_units(docs: DataFrame, level: str) -> DataFrame:
-    """(doc_id, digests array<binary>) per row: the digest of each unit in its place."""
+    """(doc_id, version, digests array<binary>) per row: the digest of each unit in its place."""
 
     def cut(batches):
         for whole in batches:
             for batch in pieces(whole):
                 made = [[unit_digest(t[a:b])[0] for a, b in units(t, level)] for t in batch.column("text").to_pylist()]
-                yield pa.record_batch({"doc_id": batch.column("doc_id"), "digests": pa.array(made, pa.list_(pa.binary()))})
+                yield pa.record_batch({"doc_id": batch.column("doc_id"), "version": batch.column("version"), "digests": pa.array(made, pa.list_(pa.binary()))})
 
-    return docs.mapInArrow(cut, "doc_id long, digests array<binary>")
+    return docs.mapInArrow(cut, "doc_id long, version long, digests array<binary>")
 
 
 def repeats(docs: DataFrame, level: str) -> DataFrame:
-    """(doc_id, repeated array<int>): the units of each document that have an earlier occurrence. Rows of ``docs``: (doc_id, text)."""
-    placed = stored(hashed_units(docs, level)).select("doc_id", F.posexplode("digests").alias("pos", "digest"))
-    owners = placed.groupBy("digest").agg(F.min(F.struct("doc_id", "pos")).alias("owner"), F.count("*").alias("n")).filter("n > 1").select("digest", "owner")
+    """(doc_id, version, repeated array<int>): the units of each document that have an earlier occurrence. Rows of ``docs``: (doc_id, text, version)."""
+    place = ("doc_id", "version", "pos")
+    placed = stored(hashed_units(docs, level)).select("doc_id", "version", F.posexplode("digests").alias("pos", "digest"))
+    owners = placed.groupBy("digest").agg(F.min(F.struct(*place)).alias("owner"), F.count("*").alias("n")).filter("n > 1").select("digest", "owner")
     owners = stored(owners)  # the join then stands directly on two shuffles, and Spark can split a hot digest
-    later = placed.join(owners, "digest").filter((F.col("doc_id") != F.col("owner.doc_id")) | (F.col("pos") != F.col("owner.pos")))
-    return later.groupBy("doc_id").agg(F.collect_set("pos").alias("repeated"))
+    later = placed.join(owners, "digest").filter(F.struct(*place) != F.col("owner"))
+    return later.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("repeated"))
 
 
 def deduplicate(docs: DataFrame, level: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_units, n_removed long, removed array<struct<start, end>> (code points of the input text), kept_text.
 
-    A removed run reaches from its first unit to the start of the unit that follows it. Null and empty texts have no units and come back empty. Repeated rows are one
-    document, not repeats of each other, and get equal result rows; rows without doc_id are left out. Ties between occurrences cannot arise, as (doc_id, position) is unique.
+    A removed run reaches from its first unit to the start of the unit that follows it. Null and empty texts have no units and come back empty. Rows equal in doc_id and text are one
+    document, not repeats of each other, and get equal result rows; rows of one doc_id with different texts are different documents. Rows without doc_id are left out.
+    Ties between occurrences cannot arise, as (doc_id, version, position) is unique.
     An empty table gives no rows; other columns are ignored.
     """
-    docs = texts(docs)
+    docs = versions(docs)
     schema = T.StructType.fromDDL("doc_id long, n_units long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
 
     def remove(batches):
@@ -103,7 +105,7 @@ def deduplicate(docs: DataFrame, level: str = "sentence", min_words: int = MIN_W
                 kinds = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return docs.join(repeats(docs, level), "doc_id", "left").select("doc_id", "text", "repeated").mapInArrow(remove, schema)
+    return docs.join(repeats(docs, level), ["doc_id", "version"], "left").select("doc_id", "text", "repeated").mapInArrow(remove, schema)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
