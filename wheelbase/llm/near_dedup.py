@@ -8,8 +8,8 @@
    with a chance below ``MISS``.
 4. In each bucket centres are linked with the other members (a star), never all members with each other. Links are checked on the
    full sets. Buckets that still hold several components get further centres, 64 times as many in every round, until each bucket is one component
-   or every member has been a centre: so no link inside a bucket is lost, and a group around one original takes two or three rounds. From the third
-   round on, the members' differences from the bucket's second centre decide most pairs without their texts.
+   or every member outside its pivot's component has been a centre: two members of that component need no check, so no link inside a bucket is lost, and
+   the pairs met are those outside times the members. A group around one original takes two or three rounds. From the third round on, the members' differences from the bucket's second centre decide most pairs without their texts.
 """
 
 from __future__ import annotations
@@ -140,7 +140,7 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     active = active.join(private_counts(held, k), "rep", "left").select("bucket", "rep", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("common"))
     active = active.filter(100 * F.col("common") >= percent * F.col("n"))
     several = active.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    active = active.join(several, "bucket", "left_semi").select("*", F.lit(False).alias("used"), F.col("rep").alias("component"), *[F.lit(None).cast("long").alias(c) for c in PIVOT])
+    active = active.join(several, "bucket", "left_semi").select("*", F.lit(False).alias("used"), F.lit(False).alias("safe"), F.col("rep").alias("component"), *[F.lit(None).cast("long").alias(c) for c in PIVOT])
     active = stored(active)
     carried = ["n", "common", "component", *PIVOT]
     found, tried, apart, labels, wave = None, None, None, None, 0
@@ -150,7 +150,7 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     while not active.isEmpty():
         # Centres: those with most links so far (the original of a group), then the smallest. One in the first two waves, the pivots; then 64, 4096, ...
-        ranked = active.filter("not used").select("bucket", "rep", *carried)
+        ranked = active.filter("not used and not safe").select("bucket", "rep", *carried)
         if found is None:
             ranked = ranked.withColumn("degree", F.lit(0))
         else:
@@ -184,15 +184,20 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
             labels = components(found)
         used = chosen.select("bucket", F.col("centre").alias("rep"), F.lit(True).alias("now"))
         state = active.drop("component").join(used, ["bucket", "rep"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        state = state.select("bucket", "rep", "n", "common", *PIVOT, (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"), F.coalesce("component", "rep").alias("component"))
+        state = state.select("bucket", "rep", "n", "common", *PIVOT, "safe", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"), F.coalesce("component", "rep").alias("component"))
         if wave == 1:
             pivots = chosen.select("bucket", F.col("centre").alias("pivot"), F.col("n_c").alias("size"))
             state = state.drop(*PIVOT).join(pivots, "bucket").join(apart.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "both"), ["rep", "pivot"], "left")
-            state = state.withColumn("both", F.coalesce("both", "n")).select("bucket", "rep", "n", "common", *PIVOT, "used", "component")
+            state = state.withColumn("both", F.coalesce("both", "n")).select("bucket", "rep", "n", "common", *PIVOT, "safe", "used", "component")
+        if wave > 0:
+            # A component only grows, so who is in the pivot's once needs no turn as a centre later.
+            main = labels.select(F.col("node").alias("pivot"), F.col("component").alias("main"))
+            state = state.join(main, "pivot", "left").withColumn("safe", F.col("safe") | (F.col("component") == F.coalesce("main", "pivot")))
+            state = state.select("bucket", "rep", "n", "common", *PIVOT, "safe", "used", "component")
         state = stored(state)
-        open_ = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if(~F.col("used")).alias("left"))
-        # One unused member has met all others, as centres of its bucket.
-        active = stored(state.join(open_.filter("low < high and left > 1").select("bucket"), "bucket", "left_semi"))
+        open_ = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if(~F.col("used")).alias("idle"), F.count_if(~F.col("used") & ~F.col("safe")).alias("left"))
+        # The only member that was no centre has met all others.
+        active = stored(state.join(open_.filter("low < high and left > 0 and idle > 1").select("bucket"), "bucket", "left_semi"))
         wave += 1
     return labels if labels is not None else docs.sparkSession.createDataFrame([], "node long, component long")
 
