@@ -101,6 +101,49 @@ def test_leaks_within_the_budget_are_all_found(spark, folder, docs, clashing, em
     assert rows(decontaminate.leaks(clashing, items)) == rows(decontaminate.leaks(docs, items))
 
 
+def least_edits(pattern, text):
+    row = list(range(len(pattern) + 1))
+    best = row[-1]
+    for letter in text:
+        last, row = row, [0]
+        for i, own in enumerate(pattern):
+            row.append(min(last[i] + (own != letter), last[i + 1] + 1, row[i] + 1))
+        best = min(best, row[-1])
+    return best
+
+
+def test_leaks_equal_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    long_ = [" ".join(prose(n, 12).split()) for n in (70, 71, 72)]
+    items = [(1, long_[0]), (2, "What is the capital of France?"), (3, long_[1]), (3, "two texts"), (4, "--!"), (5, None), (None, long_[2]), (6, "Aa"), (6, "Aa")]
+    docs = [(1, "so: what is the CAPITAL of france"), (2, "what is the capital of francesca"), (3, "Two, texts. x"), (4, ""), (5, None), (None, long_[0]), (7, "aa"), (7, "baa aab"), (8, "baa aa")]
+    for n in range(12):
+        letters = list(long_[n % 2])
+        for _ in range(int(rng.integers(0, 12))):
+            at, kind = int(rng.integers(0, len(letters))), n % 3
+            letters[at:at + (kind != 1)] = [] if kind == 0 else ["z"]
+        docs.append((20 + n, prose(n, 6) + " " + "".join(letters) + " " + prose(n + 1, 6)))
+    docs_, items_ = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want, clean = [], []
+    for doc, text in docs:
+        body, found = decontaminate.normal(text), {}
+        for item, t in items:
+            pattern = decontaminate.normal(t)
+            if item is None or not pattern:
+                continue
+            short = len(pattern.split()) < decontaminate.LEAST_WORDS
+            budget = 0 if short else int(len(pattern) * decontaminate.ERRORS)
+            edits = int(f" {pattern} " not in f" {body} ") if short else least_edits(pattern, body)
+            if edits <= budget:
+                found[item] = min(found.get(item, (edits, budget)), (edits, budget))
+        want += [(doc, item, *f) for item, f in found.items() if doc is not None]
+        clean += [(doc, text)] * (not found)
+    assert {w[1] for w in want} == {1, 2, 3, 6} and {d for d, _ in clean} > {2, 4, 5, 7}
+    assert rows(decontaminate.leaks(docs_, items_), "doc_id", "item_id", "distance", "budget") == sorted(want, key=repr)
+    items_.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert rows(decontaminate.stage(spark, docs_, str(tmp_path))) == sorted(clean, key=repr)
+
+
 @pytest.mark.parametrize("block", [4096, 3])
 def test_nearest_equals_brute_force(spark, block):
     rng = np.random.default_rng(1)

@@ -2,7 +2,8 @@
 
 Both sides are normalised to lower-case word characters with single spaces. An item of m characters has a budget of k = m * ``ERRORS`` edits. It is cut into
 k + 1 pieces; a passage within k edits must hold at least one piece unchanged, so exact piece hits (one Aho-Corasick pass over the whole
-text) find every candidate, and Myers' bit-parallel distance decides it. Nothing within the budget is missed.
+text) find every candidate, and Myers' bit-parallel distance decides it. Nothing within the budget is missed. An item of fewer than ``LEAST_WORDS`` words
+has no budget and must stand between word borders, as a few letters within a few edits are everywhere.
 
 The items travel in blocks of bounded size (``BLOCK_ITEMS``, ``BLOCK_CHARS``), one scan of the documents for each block; documents are never shuffled.
 """
@@ -72,7 +73,7 @@ class Finder:
     """Matches of a block of items in texts."""
 
     def __init__(self, items: list[tuple[int, str]], errors: float = ERRORS):
-        self.items = [(key, text, int(len(text) * errors)) for key, text in items]
+        self.items = [(key, text, int(len(text) * errors) if long_enough(text) else 0) for key, text in items]
         holders: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, budget) in enumerate(self.items):
             for offset, piece in cut(text, budget):
@@ -84,18 +85,21 @@ class Finder:
             self.automaton.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, distance, budget, end in the normalised text) for each item that occurs within its budget."""
+        """(item, distance, budget, end in the normalised text) for each item that occurs within its budget: its best text and the first end of it."""
         if not len(self.automaton):
             return []
         diagonals: dict[int, list[int]] = {}
         for end, (size, own) in self.automaton.iter(text):
             for n, offset in own:
                 diagonals.setdefault(n, []).append(end + 1 - size - offset)
-        out = []
+        out: dict[int, tuple[int, int, int]] = {}
         for n, starts in diagonals.items():
             key, pattern, budget = self.items[n]
             best = None
-            if (exact := text.find(pattern)) >= 0:
+            if not long_enough(pattern):
+                bordered = [a + len(pattern) for a in starts if text[a - 1:a] in ("", " ") and text[a + len(pattern):][:1] in ("", " ")]
+                best = (0, min(bordered)) if bordered else None
+            elif (exact := text.find(pattern)) >= 0:
                 best = (0, exact + len(pattern))
             else:
                 starts.sort()
@@ -109,21 +113,25 @@ class Finder:
                     if found and (best is None or found[0] < best[0]):
                         best = (found[0], a + found[1])
                     low = high = start
-            if best:
-                out.append((key, best[0], budget, best[1]))
-        return out
+            if best and (key not in out or (best[0], best[1]) < (out[key][0], out[key][2])):
+                out[key] = (best[0], budget, best[1])
+        return [(key, *found) for key, found in out.items()]
+
+
+def long_enough(pattern: str) -> bool:
+    return pattern.count(" ") + 1 >= LEAST_WORDS
 
 
 def blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """The usable items, in lists of bounded size; items with fewer than LEAST_WORDS words, null or empty ones are left out."""
-    usable = items.filter("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max("text").alias("text"))
+    """The items, in lists of bounded size, all texts of an item in the same list; null ones and those without a word character are left out."""
+    usable = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     count, chars = usable.agg(F.count("*"), F.sum(F.char_length("text"))).first()
     n = max(1, -(-count // BLOCK_ITEMS), -(-(chars or 0) // BLOCK_CHARS))
     out = []
     for k in range(n):
-        rows = usable.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id").collect()  # one block
+        rows = usable.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id", "text").collect()  # one block
         own = [(r.item_id, normal(r.text)) for r in rows]
-        own = [(key, text) for key, text in own if text.count(" ") + 1 >= LEAST_WORDS]
+        own = [(key, text) for key, text in own if text]
         if own:
             out.append(own)
     return out
@@ -132,8 +140,8 @@ def blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
 def leaks(docs: DataFrame, items: DataFrame, errors: float = ERRORS) -> DataFrame:
     """(doc_id, item_id, distance, budget, end_at), one row for each document and item that it holds within the item's budget.
 
-    Null or empty texts hold nothing. Repeated rows of a document give repeated result rows; an item_id with several texts counts with its greatest.
-    Rows without doc_id are left out. Other columns are ignored; without usable items or documents the result is empty.
+    Null or empty texts hold nothing. Repeated rows of a document give repeated result rows, and so do different texts of one doc_id; an item_id with several texts
+    counts with the one that fits best. Rows without doc_id are left out. Other columns are ignored; without usable items or documents the result is empty.
     """
     docs = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, distance int, budget int, end_at long"
@@ -158,6 +166,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item within its budget go; all others stay as they are."""
-    gone = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a benchmark item within its budget go; all others stay as they are. Every row is judged by its own text, with or without a doc_id.
+
+    A block of items is one filter over the rows; the filters follow each other in one pass, without a shuffle.
+    """
+    def free_of(own: list[tuple[int, str]]):
+        def keep(batches):
+            finder = Finder(own)
+            for whole in batches:
+                for batch in pieces(whole):
+                    free = [not text or not finder.find(normal(text)) for text in batch.column("text").to_pylist()]
+                    yield batch.filter(pa.array(free, pa.bool_()))
+
+        return keep
+
+    for own in blocks(table(spark, sf_dir, "benchmark")):
+        docs = docs.mapInArrow(free_of(own), docs.schema)
+    return docs
