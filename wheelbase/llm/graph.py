@@ -11,8 +11,8 @@ from wheelbase.llm.frames import stored
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that can be reached, for every node that has an edge.
 
-    Each round gives a node the smallest label around it and then the label of its label, so a chain of n nodes takes
-    about log n rounds; a round only combines and joins on nodes. The minimum combines before the shuffle, so a node with very many edges is no hot key.
+    Each round gives a node the smallest of its label, the labels around it and the label of its label, so labels reach ever further and a chain
+    of n nodes takes about log n rounds; a round is one stored table, made by combining and joining on nodes. The minimum combines before the shuffle, so a node with very many edges is no hot key.
     """
     both = stored(
         edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
@@ -21,10 +21,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = stored(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels.node == near.x, "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
-        step = stored(step)
-        jump = step.select(F.col("node").alias("target"), F.col("component").alias("further"))
-        after = stored(step.join(jump, step.component == jump.target, "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
+        jump = labels.select(F.col("node").alias("target"), F.col("component").alias("further"))
+        met = labels.join(near, labels.node == near.x, "left").join(jump, labels.component == jump.target, "left")
+        after = stored(met.select("node", F.col("component").alias("old"), F.least("component", "near", "further").alias("component")))
         labels = after.select("node", "component")
         if after.filter("component <> old").isEmpty():
             return labels
