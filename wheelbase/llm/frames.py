@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from wheelbase.staging import checkpointed
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# Spark's setting that removes the shuffle files of an execution at its end.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The frame, written once to the folder of spark.checkpoint.dir and read from there: lineage is cut, lost executors do no harm."""
-    return checkpointed(df)
+    """The frame, written once to the folder of spark.checkpoint.dir and read from there: lineage is cut, lost executors do no harm.
+
+    The shuffle files behind it go as soon as it is written; nothing reads them again. Spark takes that setting when a frame is made, hence the select.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(TIDY)
+    conf.set(TIDY, "true")
+    try:
+        return checkpointed(df.select("*"))
+    finally:
+        conf.set(TIDY, before)
 
 
 def texts(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
