@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wheelbase.session import ensure_checkpoint_dir
 from wheelbase.staging import checkpointed
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,6 +33,23 @@ def stored(df: DataFrame) -> DataFrame:
         conf.set(TIDY, before)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``stored`` as a Parquet table in that folder, for tables that a loop makes from the ones before.
+
+    Spark plans with the size of its files. A checkpoint keeps the size guessed by the plan behind it, and guesses of joins multiply: after a few
+    rounds they are numbers of millions of digits, which the driver is busy with. Column names must differ.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(TIDY)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def texts(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(doc_id long, text string): the two columns that the operators need; a null text counts as empty.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wheelbase.llm.frames import stored
+from wheelbase.llm.frames import written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,16 +14,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round gives a node the smallest of its label, the labels around it and the label of its label, so labels reach ever further and a chain
     of n nodes takes about log n rounds; a round is one stored table, made by combining and joining on nodes. The minimum combines before the shuffle, so a node with very many edges is no hot key.
     """
-    both = stored(
+    both = written(
         edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
         .select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e")).select("e.x", "e.y").distinct()
     )
-    labels = stored(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")))
+    labels = written(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("component").alias("near"))
         jump = labels.select(F.col("node").alias("target"), F.col("component").alias("further"))
         met = labels.join(near, labels.node == near.x, "left").join(jump, labels.component == jump.target, "left")
-        after = stored(met.select("node", F.col("component").alias("old"), F.least("component", "near", "further").alias("component")))
+        after = written(met.select("node", F.col("component").alias("old"), F.least("component", "near", "further").alias("component")))
         labels = after.select("node", "component")
         if after.filter("component <> old").isEmpty():
             return labels

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wheelbase.llm.frames import stored, table, versions
+from wheelbase.llm.frames import table, versions, written
 from wheelbase.llm.graph import components
 from wheelbase.llm.words import U, Words, keyed, mix, pieces
 
@@ -134,14 +134,14 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """
     banded = sets.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    active = stored(banded.join(shared, "bucket"))
+    active = written(banded.join(shared, "bucket"))
     reps = sets.join(active.select("rep").distinct(), "rep", "left_semi").select("rep", "source.*")
-    held = stored(docs.join(reps, ["doc_id", "version"]).groupBy("rep").agg(F.max("text").alias("text")))
+    held = written(docs.join(reps, ["doc_id", "version"]).groupBy("rep").agg(F.max("text").alias("text")))
     active = active.join(private_counts(held, k), "rep", "left").select("bucket", "rep", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("common"))
     active = active.filter(100 * F.col("common") >= percent * F.col("n"))
     several = active.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
     active = active.join(several, "bucket", "left_semi").select("*", F.lit(False).alias("used"), F.lit(False).alias("safe"), F.col("rep").alias("component"), *[F.lit(None).cast("long").alias(c) for c in PIVOT])
-    active = stored(active)
+    active = written(active)
     carried = ["n", "common", "component", *PIVOT]
     found, tried, apart, labels, wave = None, None, None, None, 0
 
@@ -171,16 +171,16 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
             exact = F.col("size") - F.size(F.array_union("lacks", "lacks_c")) + F.size(F.array_intersect("adds", "adds_c"))
             met = met.filter("component <> component_c").filter(enough(most)).filter(enough(F.when(F.col("lacks").isNotNull() & F.col("lacks_c").isNotNull(), exact).otherwise(most)))
         if wave == 1:
-            measured = stored(intersections(met.select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), held, k, deltas=True))
+            measured = written(intersections(met.select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), held, k, deltas=True))
             apart = measured
             measured = measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "both", "union").distinct()
         else:
             pairs = met.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-            measured = stored(intersections(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), held, k))
+            measured = written(intersections(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), held, k))
         good = measured.filter(100 * F.col("both") >= percent * F.col("union")).select("a", "b")
         tried = measured.select("a", "b") if tried is None else tried.unionByName(measured.select("a", "b"))
         if labels is None or not good.isEmpty():
-            found = good if found is None else stored(found.unionByName(good))
+            found = good if found is None else written(found.unionByName(good))
             labels = components(found)
         used = chosen.select("bucket", F.col("centre").alias("rep"), F.lit(True).alias("now"))
         state = active.drop("component").join(used, ["bucket", "rep"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
@@ -189,14 +189,14 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
             pivots = chosen.select("bucket", F.col("centre").alias("pivot"), F.col("n_c").alias("size"))
             state = state.drop(*PIVOT).join(pivots, "bucket").join(apart.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "both"), ["rep", "pivot"], "left")
             state = state.withColumn("both", F.coalesce("both", "n")).select("bucket", "rep", "n", "common", *PIVOT, "safe", "used", "component")
-        state = stored(state)
+        state = written(state)
         # A component only grows, so who is in the pivot's once is safe: it needs no turn as a centre later. Without a pivot nobody is.
         waits = F.when(~F.col("used") & ~F.col("safe"), F.col("component"))
         main = F.max(F.when(F.col("rep") == F.col("pivot"), F.col("component")))
         open_ = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if(~F.col("used")).alias("idle"), F.min(waits).alias("first_left"), F.max(waits).alias("last_left"), main.alias("main"))
         # The only member that was no centre has met all others.
         open_ = open_.filter("low < high and idle > 1 and first_left is not null and not (first_left <=> main and last_left <=> main)").select("bucket", "main")
-        active = stored(state.join(open_, "bucket").withColumn("safe", F.col("safe") | F.col("component").eqNullSafe(F.col("main"))).drop("main"))
+        active = written(state.join(open_, "bucket").withColumn("safe", F.col("safe") | F.col("component").eqNullSafe(F.col("main"))).drop("main"))
         wave += 1
     return labels if labels is not None else docs.sparkSession.createDataFrame([], "node long, component long")
 
@@ -220,10 +220,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def numbered(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """``near_duplicates`` with the version of each row's text."""
     docs = versions(docs)
-    signed = stored(signatures(docs, k, percent / 100))
+    signed = written(signatures(docs, k, percent / 100))
     sets = signed.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "version")).alias("source"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     # A representative is a number of its own, not a doc_id: a doc_id may have several texts. It is drawn once, as the table is written.
-    sets = stored(sets.withColumn("rep", F.monotonically_increasing_id()))
+    sets = written(sets.withColumn("rep", F.monotonically_increasing_id()))
     labels = links(sets, docs, k, percent)
     groups = sets.select("digest", "rep", "source.doc_id").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     smallest = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
