@@ -11,6 +11,7 @@ from wheelbase.session import ensure_checkpoint_dir
 from wheelbase.staging import checkpointed
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+PER_FILE, LEAST_FILES = 8_192, 4
 # Spark's setting that removes the shuffle files of an execution at its end.
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -33,12 +34,15 @@ def stored(df: DataFrame) -> DataFrame:
         conf.set(TIDY, before)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``stored`` as a Parquet table in that folder, for tables that a loop makes from the ones before.
 
     Spark plans with the size of its files. A checkpoint keeps the size guessed by the plan behind it, and guesses of joins multiply: after a few
-    rounds they are numbers of millions of digits, which the driver is busy with. Column names must differ.
+    rounds they are numbers of millions of digits, which the driver is busy with. Column names must differ. Where the caller has counted about how many ``rows`` there
+    will be, they go into files of some ``PER_FILE``, and at most as many as there are partitions: a small table isn't dealt out over hundreds of tasks.
     """
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // PER_FILE)))
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     before = spark.conf.get(TIDY)

@@ -18,12 +18,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
         .select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e")).select("e.x", "e.y").distinct()
     )
-    labels = written(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")))
+    rows = both.count()
+    labels = written(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")), rows)
     while True:
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("component").alias("near"))
         jump = labels.select(F.col("node").alias("target"), F.col("component").alias("further"))
         met = labels.join(near, labels.node == near.x, "left").join(jump, labels.component == jump.target, "left")
-        after = written(met.select("node", F.col("component").alias("old"), F.least("component", "near", "further").alias("component")))
+        after = written(met.select("node", F.col("component").alias("old"), F.least("component", "near", "further").alias("component")), rows)
         labels = after.select("node", "component")
         if after.filter("component <> old").isEmpty():
             return labels

@@ -148,7 +148,7 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     def enough(shared_most):
         return 100 * shared_most >= percent * (F.col("n") + F.col("n_c") - shared_most)
 
-    while not active.isEmpty():
+    while rows := active.count():
         # Centres: those with most links so far (the original of a group), then the smallest. One in the first two waves, the pivots; then 64, 4096, ...
         ranked = active.filter("not used and not safe").select("bucket", "rep", *carried)
         if found is None:
@@ -189,14 +189,14 @@ def links(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
             pivots = chosen.select("bucket", F.col("centre").alias("pivot"), F.col("n_c").alias("size"))
             state = state.drop(*PIVOT).join(pivots, "bucket").join(apart.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "both"), ["rep", "pivot"], "left")
             state = state.withColumn("both", F.coalesce("both", "n")).select("bucket", "rep", "n", "common", *PIVOT, "safe", "used", "component")
-        state = written(state)
+        state = written(state, rows)
         # A component only grows, so who is in the pivot's once is safe: it needs no turn as a centre later. Without a pivot nobody is.
         waits = F.when(~F.col("used") & ~F.col("safe"), F.col("component"))
         main = F.max(F.when(F.col("rep") == F.col("pivot"), F.col("component")))
         open_ = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if(~F.col("used")).alias("idle"), F.min(waits).alias("first_left"), F.max(waits).alias("last_left"), main.alias("main"))
         # The only member that was no centre has met all others.
         open_ = open_.filter("low < high and idle > 1 and first_left is not null and not (first_left <=> main and last_left <=> main)").select("bucket", "main")
-        active = written(state.join(open_, "bucket").withColumn("safe", F.col("safe") | F.col("component").eqNullSafe(F.col("main"))).drop("main"))
+        active = written(state.join(open_, "bucket").withColumn("safe", F.col("safe") | F.col("component").eqNullSafe(F.col("main"))).drop("main"), rows)
         wave += 1
     return labels if labels is not None else docs.sparkSession.createDataFrame([], "node long, component long")
 
