@@ -202,3 +202,13 @@ def test_pearson_of_constant_and_offset_columns(spark):
     got = {r.g: (r.n, r.rho) for r in association.pearson(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect()}
     assert got["flat"] == (1000, None) and got["few"] == (2, None)
     assert abs(got["offset"][1] - 1) < 1e-6
+
+
+def test_running_minimum_reads_every_row_once(spark):
+    """A frame that ends at the last row is read again for every row, so a range of n rows would take n * n / 2 steps."""
+    data = [(i % 3, float(i), float((i * 37) % 101)) for i in range(300)]
+    frame = spark.createDataFrame(data, "g int, v double, m double")
+    got = ordering.with_minimum_from(frame, ["g"], "v", F.col("m"), "least", ranges=4)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    for row in got.collect():
+        assert row.least == min(m for g, v, m in data if g == row.g and v >= row.v)

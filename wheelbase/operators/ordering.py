@@ -58,13 +58,16 @@ def with_sums_before(
 def with_minimum_from(
     df: DataFrame, group: Sequence[str], value: str, measure: Column, name: str, ranges: int | None = None, stage=checkpointed
 ) -> DataFrame:
-    """Add ``name``: the smallest ``measure`` among this value and all larger ones in the group."""
+    """Add ``name``: the smallest ``measure`` among this value and all larger ones in the group.
+
+    The windows run from the largest value down: a frame that grows keeps one running minimum, one that shrinks is read again for every row.
+    """
     ranged = in_ranges(df.withColumn("_measure", measure), [*group, value], ranges, stage)
     keys = ["_part", *group]
     lows = ranged.groupBy(*keys).agg(F.min("_measure").alias("_low"))
-    later = Window.partitionBy(*group).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*group).orderBy(F.desc("_part")).rowsBetween(*_BEFORE)
     suffix = lows.select(*keys, F.min("_low").over(later).alias("_later"))
-    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(0, Window.unboundedFollowing)
+    inside = Window.partitionBy(*keys).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("_here", F.min("_measure").over(inside))
     # least() skips NULL, so the last range, which has nothing after it, keeps its own minimum.
     return _same(local, suffix, keys).withColumn(name, F.least("_here", "_later")).drop("_part", "_measure", "_here", "_later")
