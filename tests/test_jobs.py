@@ -225,3 +225,13 @@ def test_fingerprints_follow_the_data_of_every_format(spark, tmp_path):
         assert len(found) == 6
     names = [r.name for r in tables.file_digests(spark, str(tmp_path / "csv" / "a")).collect()]
     assert len(names) == 1 and names[0].startswith("inner/part-")
+
+
+def test_single_file_is_not_computed_by_its_writer(spark):
+    from workload import source_checks
+
+    sums = spark.range(1000).selectExpr("id % 7 AS k", "id AS v").groupBy("k").sum("v")
+    one = source_checks.in_one_part(sums)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" in plan and "Coalesce" not in plan
+    assert one.rdd.getNumPartitions() == 1 and sorted(tuple(r) for r in one.collect()) == sorted(tuple(r) for r in sums.collect())
