@@ -212,3 +212,19 @@ def test_running_minimum_reads_every_row_once(spark):
     assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
     for row in got.collect():
         assert row.least == min(m for g, v, m in data if g == row.g and v >= row.v)
+
+
+def test_group_medians_are_exact_and_build_no_sketches(spark):
+    rng = random.Random(5)
+    values = [*range(25_000), *[None] * 70]
+    rng.shuffle(values)
+    data = [("hot", None if v is None else float(v), 1.0) for v in values] + [("one", 3.0, None), ("none", None, 0.5), ("none", None, None), (None, 2.0, 0.0), (None, 1.0, 1.0)]
+    frame = spark.createDataFrame(data, "k string, v double, c double")
+    got = {r.k: (r.m, r.mean) for r in summary.group_medians(frame, ["k"], "v", "m", {"mean": "c"}).collect()}
+    assert got == {"hot": (12_499.0, 1.0), "one": (3.0, None), "none": (None, 0.5), None: (1.0, 0.5)}
+    attributes = spark.createDataFrame(
+        [("s", "p", "1", 1.0, None), ("s", "p", "9", 9.0, None), ("s", "q", "-", None, None), ("s", "r", "red", None, None)],
+        "series_id string, parameter_key string, value_text string, value_numeric double, equipment_state string")
+    found = features.series_parameter_values(attributes)
+    assert {tuple(r) for r in found.collect()} == {("s", "p", 1.0, None), ("s", "q", None, 0.0)}
+    assert "ObjectHashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
