@@ -267,3 +267,11 @@ def test_public_json_drops_blank_fields(items):
     row = items.withColumn("brand", F.lit("")).select(recommend.public_json().alias("j")).first()
     fields = json.loads(row.j)
     assert "fuel_consumption" not in fields and "brand" not in fields and fields["seats"] == 5
+
+
+def test_contest_hands_on_only_items_that_reach_the_last_place(spark):
+    """Pairs are judged where they arise: what goes on to be ranked grows with the places, not with the items of a cell."""
+    met, every = contest_of(spark, catalog_rows(4800, 7), named(spark, asked_rows(40, 8)))
+    assert best(met) == best(every)
+    places = sum(len(places) for places in best(every).values())
+    assert places <= met.count() < 4 * places

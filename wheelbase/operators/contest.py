@@ -3,7 +3,7 @@
 Items that agree in body, energy and tags and lie in one narrow price bucket form a cell, whose summary bounds what any of
 its items can score: the price nearest to the wished one, a wished brand if the cell has one, the largest heat. A request is first paired
 with cells only. The leaders of its most promising cells are scored; the last place among the best of them is a score that the
-answer cannot fall below, so only cells whose bound reaches it hand over their items. Bounds use the scoring expressions
+answer cannot fall below, so only cells whose bound reaches it hand over their items, and only items that reach it go on to be ranked. Bounds use the scoring expressions
 themselves on the best item that the cell could hold, so they are exact upper bounds also after rounding.
 """
 
@@ -83,15 +83,25 @@ def contenders(
     entrants = sliced(sold, sizes, ["cell"], "i", "r", "car_id")
 
     def met(chosen: DataFrame, some: DataFrame) -> DataFrame:
-        """The chosen (sig, cell) with those items of their cells that fit, scored."""
-        asked = sliced(chosen, sizes, ["cell"], "r", "i", "sig")
-        return some.join(asked, ["cell", "i", "r"]).drop("i", "r", "cell").join(requests, "sig").filter(overlap & classes & fits).withColumn("score", score())
+        """The chosen (sig, cell) with those items of their cells that fit, scored.
+
+        The requests join the chosen cells, so pairs with items are judged where they arise and never dealt out unjudged.
+        """
+        asked = sliced(chosen, sizes, ["cell"], "r", "i", "sig").join(requests, "sig")
+        fitting = some.join(asked, ["cell", "i", "r"]).drop("i", "r", "cell").filter(overlap & classes & fits)
+        # As a generated column the score is computed once a pair; conditions on a plain one would repeat it inside the join.
+        return fitting.select("*", F.explode(F.array(score())).alias("score"))
+
+    def reaches(value: Column, fullness: Column) -> Column:
+        """Whether an item of this score and completeness can come in not after the last place."""
+        least_score = F.col("least_score")
+        return least_score.isNull() | (value > least_score) | ((value == least_score) & (fullness >= F.col("least_fullness")))
 
     promising = Window.partitionBy("sig").orderBy(F.desc("bound"), F.desc("n_items"), "cell")
     first = paired.withColumn("_place", F.row_number().over(promising)).filter(F.col("_place") <= FIRST_CELLS).select("sig", "cell")
     hottest = Window.partitionBy("cell", "i", "r").orderBy(F.desc_nulls_last("normalized_heat"), F.desc_nulls_last("data_completeness"), "car_id")
     leaders = entrants.withColumn("_place", F.row_number().over(hottest)).filter(F.col("_place") <= LEADERS).drop("_place")
     least = stage(last_place(met(first, leaders)))
-    reach = F.col("least_score").isNull() | (F.col("bound") > F.col("least_score")) | (
-        (F.col("bound") == F.col("least_score")) & (F.col("fullest") >= F.col("least_fullness")))
-    return met(paired.join(least, "sig", "left").filter(reach).select("sig", "cell"), entrants)
+    reaching = paired.join(least, "sig", "left").filter(reaches(F.col("bound"), F.col("fullest"))).select("sig", "cell", "least_score", "least_fullness")
+    scored = met(reaching, entrants)
+    return scored.filter(reaches(F.col("score"), F.coalesce("data_completeness", F.lit(0.0)))).drop("least_score", "least_fullness")
