@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wheelbase.session import ensure_checkpoint_dir
-from wheelbase.staging import checkpointed
+from wheelbase.staging import TIDY, checkpointed, written  # noqa: F401
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-PER_FILE, LEAST_FILES = 8_192, 4
-# Spark's setting that removes the shuffle files of an execution at its end.
-TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,37 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The frame, written once to the folder of spark.checkpoint.dir and read from there: lineage is cut, lost executors do no harm.
-
-    The shuffle files behind it go as soon as it is written; nothing reads them again. Spark takes that setting when a frame is made, hence the select.
-    """
-    conf = df.sparkSession.conf
-    before = conf.get(TIDY)
-    conf.set(TIDY, "true")
-    try:
-        return checkpointed(df.select("*"))
-    finally:
-        conf.set(TIDY, before)
-
-
-def written(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``stored`` as a Parquet table in that folder, for tables that a loop makes from the ones before.
-
-    Spark plans with the size of its files. A checkpoint keeps the size guessed by the plan behind it, and guesses of joins multiply: after a few
-    rounds they are numbers of millions of digits, which the driver is busy with. Column names must differ. Where the caller has counted about how many ``rows`` there
-    will be, they go into files of some ``PER_FILE``, and at most as many as there are partitions: a small table isn't dealt out over hundreds of tasks.
-    """
-    if rows is not None:
-        df = df.coalesce(max(LEAST_FILES, -(-rows // PER_FILE)))
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(TIDY)
-    spark.conf.set(TIDY, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(TIDY, before)
-    return spark.read.schema(df.schema).parquet(path)
+    """The frame, written once to the folder of spark.checkpoint.dir and read from there: lineage is cut, lost executors do no harm."""
+    return checkpointed(df)
 
 
 def texts(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:

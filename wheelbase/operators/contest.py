@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wheelbase.operators.bands import HIGHEST, LOWEST, SLICE_ROWS, band_join, sliced
-from wheelbase.staging import checkpointed
+from wheelbase.staging import written
 
 CELL_RATIO = 1.05
 # Cells of a request whose leaders are scored for the first threshold, and leaders of a cell.
@@ -63,7 +63,7 @@ def last_place(scored: DataFrame) -> DataFrame:
 
 def contenders(
     items: DataFrame, requests: DataFrame, price: Column, score: Callable[[], Column], fits: Column, cell_fits: Column,
-    slice_rows: int = SLICE_ROWS, stage=checkpointed,
+    slice_rows: int = SLICE_ROWS, stage=written,
 ) -> DataFrame:
     """Pairs of items and requests that fit, among them the best ``limit`` (at most LEADERS) of every request, with ``score``.
 
@@ -71,7 +71,10 @@ def contenders(
     ``fits`` holds for one of its items.
     """
     keyed = stage(with_cells(items, price))
-    cells = summaries(keyed, price)
+    # From here on a cell is a number, as tables of pairs hold it once a row.
+    cells = stage(summaries(keyed, price).withColumn("number", F.monotonically_increasing_id()))
+    keyed = keyed.join(cells.select("cell", "number"), "cell").withColumn("cell", F.col("number")).drop("number")
+    cells = cells.withColumn("cell", F.col("number")).drop("number")
     paired = stage(bounded(band_join(cells, requests, cell_fits, "cell", "sig"), score).select("sig", "cell", "bound", "fullest", "n_items"))
     overlap = (F.col("price_min_wan") <= F.col("band_high")) & (F.col("price_max_wan") >= F.col("band_low"))
     classes = ((F.col("want_body") == "") | (F.col("body_type") == F.col("want_body"))) & ((F.col("want_energy") == "") | (F.col("energy_type") == F.col("want_energy")))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from wheelbase import vocab
 from wheelbase.operators.ordering import with_sums_before
-from wheelbase.staging import checkpointed
+from wheelbase.staging import written
 
 # Conditions of a line, by bit of its pattern; a condition that is not asked for stays blank in the line's key.
 BODY, ENERGY, BRAND, TAG, SEATS, SALES = (1 << i for i in range(6))
@@ -37,7 +37,7 @@ def _key(*conditions: Column) -> Column:
     return F.struct(F.xxhash64(*conditions).alias("a"), F.xxhash64(F.lit(1), *conditions).alias("b"))
 
 
-def sales_levels(items: DataFrame, minimums: DataFrame, stage=checkpointed) -> tuple[DataFrame, DataFrame, int]:
+def sales_levels(items: DataFrame, minimums: DataFrame, stage=written) -> tuple[DataFrame, DataFrame, int]:
     """(items with ``level``, minimums with ``level``, number of block sizes).
 
     ``minimums`` has the distinct asked ``min_sales``. An item's level is the number of these at or below its sales, the level of
@@ -85,15 +85,14 @@ def _blank(kind: str) -> Column:
     return F.array(F.lit("") if kind == "string" else F.lit(-1).cast(kind))
 
 
-def _lines_of_items(items: DataFrame, terms: DataFrame, sizes: int) -> DataFrame:
-    """(key, low, high, weight): each item once for every asked key that it fulfils.
+def _lines_of_items(items: DataFrame, terms: DataFrame, keys: DataFrame, sizes: int) -> DataFrame:
+    """(number, low, high, weight): each item once for every asked key that it fulfils; ``keys`` number the asked ones.
 
     The combinations that an item can fulfil are built in place and looked up by key. The lookup table is shipped to the tasks
     only after its rows were counted; a larger one is joined by a shuffle.
     """
     asked = terms.agg(F.count("*").alias("n"), F.collect_set("pattern").alias("patterns")).first()
     patterns = F.array(*[F.lit(p) for p in asked.patterns]).cast("array<int>")
-    keys = terms.select("key").distinct()
     if asked.n <= SHIPPED_TERMS:
         keys = F.broadcast(keys)
     # A small catalog arrives in few partitions, but every item of it becomes many rows here.
@@ -112,7 +111,7 @@ def _lines_of_items(items: DataFrame, terms: DataFrame, sizes: int) -> DataFrame
     for name, (bit, _, blank) in choices.items():
         asked = F.col("pattern").bitwiseAND(bit) != 0
         lines = lines.withColumn(f"_{name}", F.explode(F.when(asked, F.col(f"_{name}s")).otherwise(blank))).drop(f"_{name}s")
-    return lines.select(_key(*[F.col(f"_{c}") for c in choices]).alias("key"), "low", "high", "weight").join(keys, "key", "left_semi")
+    return lines.select(_key(*[F.col(f"_{c}") for c in choices]).alias("key"), "low", "high", "weight").join(keys, "key").drop("key")
 
 
 def _terms(requests: DataFrame, sizes: int) -> DataFrame:
@@ -150,7 +149,7 @@ COUNTS = ("n_core", "n_brand", "n_scenario", "n_both", "n_raised")
 _BEGIN, _ASK, _END = 0, 1, 2
 
 
-def count_in_bands(items: DataFrame, requests: DataFrame, raised: Column, stage=checkpointed) -> DataFrame:
+def count_in_bands(items: DataFrame, requests: DataFrame, raised: Column, stage=written) -> DataFrame:
     """Per ``sig`` the summed weights of the items that fit: as asked, with brand, with tag, with both, and under the ``raised`` ceiling.
 
     ``items`` need price_max_wan not below price_min_wan, as the catalog's repair rule gives it; a NULL class, seat or sales value fulfils
@@ -161,16 +160,20 @@ def count_in_bands(items: DataFrame, requests: DataFrame, raised: Column, stage=
         "price_min_wan", "price_max_wan", "body_type", "energy_type", "brand", "scenario_tags", "seats", "item_sales", "weight").filter("weight > 0")
     leveled, minimums, sizes = sales_levels(sold, requests, stage)
     minimums = minimums.withColumnRenamed("min_sales", "_minimum")
-    wanted = requests.withColumn("raised_wan", raised).join(minimums, F.col("min_sales") == F.col("_minimum"), "left")
+    # Tables of points hold a request and a line once a row, so both are numbers there.
+    known = stage(requests.withColumn("number", F.monotonically_increasing_id()))
+    wanted = known.withColumn("sig", F.col("number")).drop("number").withColumn("raised_wan", raised).join(minimums, F.col("min_sales") == F.col("_minimum"), "left")
     terms = stage(_terms(wanted, sizes))
-    lines = _lines_of_items(leveled, terms, sizes)
+    keys = stage(terms.select("key").distinct().withColumn("number", F.monotonically_increasing_id()))
+    lines = _lines_of_items(leveled, terms, keys, sizes)
     begin = F.struct(F.lit(_BEGIN).alias("line"), F.col("low").alias("price"), F.lit(_BEGIN).alias("side"))
     end = F.struct(F.lit(_END).alias("line"), F.col("high").alias("price"), F.lit(_END).alias("side"))
-    of_items = lines.select("key", "weight", F.inline(F.array(begin, end))).groupBy("key", "line", "price", "side").agg(F.sum("weight").alias("weight"))
+    of_items = lines.select("number", "weight", F.inline(F.array(begin, end))).groupBy("number", "line", "price", "side").agg(F.sum("weight").alias("weight"))
     upper = F.struct(F.lit(_BEGIN).alias("line"), F.col("high").alias("price"), F.lit(1).alias("sign"))
     lower = F.struct(F.lit(_END).alias("line"), F.col("low").alias("price"), F.lit(-1).alias("sign"))
-    of_requests = terms.select("key", F.inline(F.array(upper, lower)), F.lit(_ASK).alias("side"), F.lit(0).cast("long").alias("weight"), "sig", "name")
+    of_requests = terms.join(keys, "key").select("number", F.inline(F.array(upper, lower)), F.lit(_ASK).alias("side"), F.lit(0).cast("long").alias("weight"), "sig", "name")
     points = of_requests.unionByName(of_items, allowMissingColumns=True)
-    running = with_sums_before(points, ["key", "line"], ["price", "side"], {"below": F.col("weight")}, stage=stage).filter(F.col("side") == _ASK)
+    running = with_sums_before(points, ["number", "line"], ["price", "side"], {"below": F.col("weight")}, stage=stage).filter(F.col("side") == _ASK)
     total = lambda name: F.sum(F.when(F.col("name") == name, F.col("sign") * F.col("below")).otherwise(F.lit(0)))
-    return running.groupBy("sig").agg(*[total(n).alias(n) for n in COUNTS])
+    counted = running.groupBy(F.col("sig").alias("number")).agg(*[total(n).alias(n) for n in COUNTS])
+    return known.select("sig", "number").join(counted, "number").drop("number")

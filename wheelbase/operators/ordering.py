@@ -19,7 +19,7 @@ from wheelbase.staging import checkpointed
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
-def in_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None, stage=checkpointed) -> DataFrame:
+def in_ranges(df: DataFrame, order: Sequence[Column | str], ranges: int | None = None, stage=checkpointed) -> DataFrame:
     """The rows with ``_part``, the number of their range: all rows of a range sort before those of the next.
 
     There are as many ranges as the session has shuffle partitions. Rows equal in ``order`` share a range.
@@ -37,7 +37,7 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
 
 
 def with_sums_before(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], amounts: Mapping[str, Column], ranges: int | None = None,
+    df: DataFrame, group: Sequence[str], order: Sequence[Column | str], amounts: Mapping[str, Column], ranges: int | None = None,
     stage=checkpointed,
 ) -> DataFrame:
     """Add, for every name in ``amounts``, the sum of that amount over all earlier rows of the group.
@@ -74,7 +74,7 @@ def with_minimum_from(
 
 
 def numbered(
-    df: DataFrame, order: Sequence[str], name: str, ranges: int | None = None, stage=checkpointed
+    df: DataFrame, order: Sequence[Column | str], name: str, ranges: int | None = None, stage=checkpointed
 ) -> DataFrame:
     """Add ``name``: the number (from 0) of the row in the whole frame's order, which should be total."""
     return with_sums_before(df, [], order, {name: F.lit(1).cast("long")}, ranges, stage)

@@ -6,6 +6,7 @@ kept as one group with its size and its best few members.  Both reductions are e
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,8 @@ from wheelbase.operators.bands import band_join
 from wheelbase.operators.contest import contenders
 from wheelbase.operators.counting import count_in_bands
 from wheelbase.operators.requests import SIGNATURE_FIELDS, signature
-from wheelbase.staging import checkpointed
+from wheelbase.operators.ordering import numbered
+from wheelbase.staging import written
 
 # What a request can see of an item; items equal in all of these score the same for everybody.
 VISIBLE = (
@@ -26,6 +28,8 @@ VISIBLE = (
     "normalized_heat", "scenario_tags",
 )
 BEST = vocab.LIMIT_MAX
+# What the hard conditions read of a request.
+CORE_FIELDS = ("budget_min_wan", "budget_max_wan", "body_type", "energy_type", "min_seats", "min_sales")
 # Up to this many distinct requests are shipped to all tasks and tried on every item in one scan, without a shuffle of the catalog.
 FEW = 64
 
@@ -56,11 +60,9 @@ def item_groups(items: DataFrame, best: int = BEST) -> DataFrame:
     )
 
 
-def distinct_requests(requests: DataFrame) -> DataFrame:
-    """One row per distinct normalized request."""
-    return requests.withColumn("sig", signature()).groupBy("sig").agg(
-        *[F.first(c).alias(c) for c in SIGNATURE_FIELDS]
-    )
+def distinct_requests(requests: DataFrame, fields: Sequence[str] = SIGNATURE_FIELDS) -> DataFrame:
+    """One row per distinct normalized request, or per distinct ``fields`` of it."""
+    return requests.withColumn("sig", signature(fields)).groupBy("sig").agg(*[F.first(c).alias(c) for c in fields])
 
 
 def raised_ceiling(policy: vocab.RelaxPolicy = vocab.RelaxPolicy()) -> Column:
@@ -100,7 +102,7 @@ def core_matches(items: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def count_matches(
-    items: DataFrame, sigs: DataFrame, policy: vocab.RelaxPolicy = vocab.RelaxPolicy(), stage=checkpointed
+    items: DataFrame, sigs: DataFrame, policy: vocab.RelaxPolicy = vocab.RelaxPolicy(), stage=written
 ) -> DataFrame:
     """Per distinct request: core matches, those that also fit brand and/or scenario, and matches under the raised ceiling."""
     return count_in_bands(items, sigs, raised_ceiling(policy), stage)
@@ -236,7 +238,7 @@ def template_reason(name: Column | str, labels: Column) -> Column:
 
 
 def decisions(
-    items: DataFrame, requests: DataFrame, policy: vocab.RelaxPolicy = vocab.RelaxPolicy(), stage=checkpointed
+    items: DataFrame, requests: DataFrame, policy: vocab.RelaxPolicy = vocab.RelaxPolicy(), stage=written
 ) -> tuple[DataFrame, DataFrame, bool]:
     """(items with their weights, relaxation decisions per distinct request ``sig``, whether the requests are few).
 
@@ -249,29 +251,32 @@ def decisions(
     return weighted, stage(relax(sigs, counts, policy)), few
 
 
-def ranked_per_signature(weighted: DataFrame, decided: DataFrame, few: bool, stage=checkpointed) -> DataFrame:
+def ranked_per_signature(weighted: DataFrame, decided: DataFrame, few: bool, stage=written) -> DataFrame:
     """The leading items of every distinct request.
 
     Filters are decided by now. Few requests meet every item. Many meet cells of items first and then only the items of cells that
     can reach the request's last place. Each task keeps only its own leading rows per request before the ranking shuffles.
     """
     wanted = _wanted(decided.select("sig", *SIGNATURE_FIELDS, "ceiling", "keep_brand", "keep_scenario"), F.col("ceiling"))
+    leading = [F.coalesce("data_completeness", F.lit(0.0)).desc(), F.coalesce("normalized_heat", F.lit(0.0)).desc(), "model_name", "car_id"]
+    top = lambda *order: F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("score"), *order))
+    inside = lambda ranked: ranked.filter(F.col("rank") <= BEST).filter(F.col("rank") <= F.col("limit"))
     scenario = ~F.col("keep_scenario") | _scenario_hit()
     fits = _minimums() & (~F.col("keep_brand") | _brand_hit()) & scenario
     cell_fits = _minimums() & (~F.col("keep_brand") | F.arrays_overlap("brands", "cell_brands")) & scenario
     if few:
-        candidates = _tried(weighted, wanted, fits).withColumn("score", weighted_score())
+        kept = inside(_tried(weighted, wanted, fits).withColumn("score", weighted_score()).withColumn("rank", top(*leading)))
     else:
-        candidates = contenders(weighted, wanted, price_basis(), weighted_score, fits, cell_fits, stage=stage)
-    order = Window.partitionBy("sig").orderBy(
-        F.desc("score"),
-        F.coalesce("data_completeness", F.lit(0.0)).desc(),
-        F.coalesce("normalized_heat", F.lit(0.0)).desc(),
-        "model_name",
-        "car_id",
-    )
-    numbered = candidates.withColumn("rank", F.row_number().over(order))
-    kept = numbered.filter(F.col("rank") <= BEST).filter(F.col("rank") <= F.col("limit"))
+        # Among equal scores the order is one of the items alone. Items are numbered in it and requests in any, so what is compared and
+        # ranked are narrow rows of numbers; only the ranked ones get the items' other columns and the signature back.
+        placed = stage(numbered(weighted, leading, "place", stage=stage))
+        known = stage(wanted.withColumn("number", F.monotonically_increasing_id()))
+        seen = placed.select(F.col("place").alias("car_id"), *VISIBLE, "data_completeness")
+        asked = known.withColumn("sig", F.col("number")).drop("number")
+        scored = contenders(seen, asked, price_basis(), weighted_score, fits, cell_fits, stage=stage)
+        ranked = inside(scored.select("sig", "limit", "score", "car_id").withColumn("rank", top("car_id")))
+        shown = ranked.select(F.col("sig").alias("number"), F.col("car_id").alias("place"), "score", "rank")
+        kept = shown.join(known, "number").join(placed.withColumnRenamed("sales", "item_sales"), "place")
     explained = kept.withColumn("matched_factors", matched_factors())
     public = [c for c in vocab.PUBLIC_FIELDS if c != "sales"]
     return explained.select(
@@ -286,7 +291,7 @@ def recommend(
     requests: DataFrame,
     policy: vocab.RelaxPolicy = vocab.RelaxPolicy(),
     key: str = "request_id",
-    stage=checkpointed,
+    stage=written,
 ) -> tuple[DataFrame, DataFrame]:
     """(ranked rows, one envelope row per request).
 
