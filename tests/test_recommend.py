@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from wheelbase import vocab
 from wheelbase.operators import bands, compare, contest, counting, recommend, requests
+from wheelbase.staging import written
+from workload import recommend_checks
 from tests.conftest import ITEM_SCHEMA
 
 
@@ -275,3 +277,53 @@ def test_contest_hands_on_only_items_that_reach_the_last_place(spark):
     assert best(met) == best(every)
     places = sum(len(places) for places in best(every).values())
     assert places <= met.count() < 4 * places
+
+
+def test_large_tables_of_the_ranking_hold_numbers(spark, monkeypatch):
+    """Points and pairs are written with numbers for requests, lines and cells, and only the ranked rows get texts back."""
+    monkeypatch.setattr(recommend, "FEW", 0)
+    made = []
+
+    def stage(df):
+        made.append(dict(df.dtypes))
+        return written(df)
+
+    valid = requests.validate_requests(named(spark, asked_rows(30, 5)))[0]
+    recommend.recommend(spark.createDataFrame(catalog_rows(80, 6), ITEM_SCHEMA), valid, stage=stage)[0].collect()
+    points, pairs = [t for t in made if "side" in t], [t for t in made if "bound" in t]
+    assert points and pairs
+    assert all(t["sig"] == t["number"] == "bigint" and "key" not in t for t in points)
+    assert all(t["sig"] == t["cell"] == "bigint" for t in pairs)
+
+
+def test_core_match_equals_enumeration_without_sorting_pairs(spark, monkeypatch):
+    catalog = [(None, *row[1:]) if n % 9 == 0 else row for n, row in enumerate(catalog_rows(200, 21))]
+    # Requests that differ only beyond the hard conditions, and items with the same or no car_id.
+    asked = asked_rows(40, 22) + [(f"twin{r[0]}", *r[1:5], ["B"], *r[6:]) for r in asked_rows(40, 22)]
+    valid = requests.validate_requests(named(spark, asked))[0]
+    items = spark.createDataFrame(catalog + catalog[:20], ITEM_SCHEMA)
+    monkeypatch.setattr(recommend_checks.views, "items", lambda *_: items)
+    monkeypatch.setattr(recommend_checks, "valid_requests", lambda *_: valid)
+    found = recommend_checks.core_match(spark, "")
+    got = {r.request_id: tuple(r)[1:] for r in found.collect()}
+    want = {}
+    for r in valid.collect():
+        fits = [
+            i for i in catalog + catalog[:20]
+            if r.body_type in ("", i[6]) and r.energy_type in ("", i[7]) and (r.min_seats is None or (i[8] or 0) >= r.min_seats)
+            and (r.min_sales is None or (i[13] is not None and i[13] >= r.min_sales)) and i[3] <= r.budget_max_wan and i[4] >= r.budget_min_wan
+        ]
+        ids = [i[0] for i in fits if i[0] is not None]
+        if fits:
+            want[r.request_id] = (len(fits), min(ids, default=None), max(ids, default=None))
+    assert got == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any("SortAggregate" in line and "count(1)" in line for line in plan.splitlines())
+
+
+def test_pairs_of_bands_are_made_by_many_tasks(spark):
+    """Few narrow rows on both sides become many pairs; they must not be made by the one task that read the items."""
+    items = spark.createDataFrame(catalog_rows(60, 3), ITEM_SCHEMA).coalesce(1)
+    sigs = recommend.distinct_requests(requests.validate_requests(named(spark, asked_rows(30, 4)))[0], recommend.CORE_FIELDS)
+    plan = recommend.core_matches(items, sigs)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan

@@ -77,7 +77,9 @@ def band_join(
     right = sliced(laid_requests, sizes, keys, "r", "i", request_id)
     first_shared = F.col("bucket") == F.greatest("item_bucket", "request_bucket")
     overlap = (F.col("price_min_wan") <= F.col("band_high")) & (F.col("price_max_wan") >= F.col("band_low"))
-    joined = left.join(right, [*keys, "i", "r"])
+    # A small side would be sent to the few tasks of the other one, though every row of it may become many pairs; a stated number of tasks stays.
+    spread = left.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "i", "r")
+    joined = spread.join(right, [*keys, "i", "r"])
     return joined.filter(first_shared & overlap & condition).drop(
         *keys, "i", "r", "item_bucket", "request_bucket"
     )

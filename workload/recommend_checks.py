@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from wheelbase import vocab
 from wheelbase.functions import rules
-from wheelbase.operators import compare, recommend, requests
+from wheelbase.operators import compare, ordering, recommend, requests
+from wheelbase.staging import written
 from workload import views
 from workload.ctes import with_ctes
 from workload.registry import check
@@ -68,12 +69,16 @@ FROM requests r JOIN items i ON i.price_min_wan <= r.budget_max_wan
   AND i.price_max_wan >= r.budget_min_wan
 GROUP BY 1"""))
 def core_match(spark, sf):
+    """Pairs carry the number of the item in the order of car_id: smallest and largest numbers are summed up in place, texts would sort all pairs."""
     valid = valid_requests(spark, sf)
-    pairs = recommend.core_matches(views.items(spark, sf), recommend.distinct_requests(valid))
-    per_request = pairs.groupBy("sig").agg(
-        F.count("*").alias("n_items"), F.min("car_id").alias("first_car"), F.max("car_id").alias("last_car")
-    )
-    return valid.select("request_id", requests.signature().alias("sig")).join(per_request, "sig").drop("sig")
+    named = written(ordering.numbered(views.items(spark, sf), ["car_id"], "place"))
+    items = named.withColumn("car_id", F.when(F.col("car_id").isNotNull(), F.col("place")))
+    pairs = recommend.core_matches(items, recommend.distinct_requests(valid, recommend.CORE_FIELDS))
+    per_request = pairs.groupBy("sig").agg(F.count("*").alias("n_items"), F.min("car_id").alias("_first"), F.max("car_id").alias("_last"))
+    for end in ("first", "last"):
+        per_request = per_request.join(named.select(F.col("place").alias(f"_{end}"), F.col("car_id").alias(f"{end}_car")), f"_{end}", "left").drop(f"_{end}")
+    asked = valid.select("request_id", requests.signature(recommend.CORE_FIELDS).alias("sig"))
+    return asked.join(per_request, "sig").select("request_id", "n_items", "first_car", "last_car")
 
 
 @check("request_rejections", with_ctes(("request_errors",), """
