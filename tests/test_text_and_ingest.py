@@ -7,6 +7,7 @@ from wheelbase.functions import rules, text
 from wheelbase.operators import ingest
 from wheelbase import schemas
 from wheelbase.plans import ingest_job
+from workload import ingest_checks
 
 
 def one(spark, column):
@@ -154,3 +155,13 @@ def test_manual_candidates_take_the_inferred_name(spark):
     parsed = ingest.parse_payloads(spark.createDataFrame([("1", json.dumps(PAYLOAD))], "series_id string, body string"))
     row = ingest.series_rows(good, parsed, "d").first()
     assert row.series_name == "云雀" and row.list_price_min_wan is None and row.body_hints == ""
+
+
+def test_listing_pages_of_one_file_are_parsed_by_all_cores(spark, tmp_path):
+    parts = [(k, f"part {k}", f"Brand#{k % 5}", ("LARGE", "MEDIUM", "PROMO")[k % 3], k % 50 + 1, 900.0 + k) for k in range(40)]
+    frame = spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    pages = ingest_checks.listing_pages(spark, str(tmp_path))
+    assert pages.count() == 40 and pages.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    found = ingest_checks.html_listing(spark, str(tmp_path)).groupBy("category").count().collect()
+    assert {r.category: r["count"] for r in found} == {"MPV": 2 * 14, "SUV": 13, "跑车": 3 * 13}

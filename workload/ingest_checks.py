@@ -255,7 +255,7 @@ def listing_pages(spark, sf):
         box(F.lit("其他"), item(5, size)),
         F.lit("</body></html>"),
     )
-    return views.table(spark, sf, "part").select(key.alias("page_no"), html.alias("html"))
+    return spread_rows(views.table(spark, sf, "part")).select(key.alias("page_no"), html.alias("html"))
 
 
 LISTING_SQL = f"""
