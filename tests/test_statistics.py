@@ -228,3 +228,17 @@ def test_group_medians_are_exact_and_build_no_sketches(spark):
     found = features.series_parameter_values(attributes)
     assert {tuple(r) for r in found.collect()} == {("s", "p", 1.0, None), ("s", "q", None, 0.0)}
     assert "ObjectHashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_modes_parse_their_texts_once_and_pass_over_blanks(spark):
+    rows = [("a", " x "), ("a", ""), ("a", "  "), ("a", None), ("a", None), ("b", ""), ("b", None), ("c", "y"), ("c", "z"), ("c", "z")]
+    texts = spark.createDataFrame(rows, "k string, raw string").select("k", F.regexp_replace("raw", "x", "X").alias("v"))
+    modes = summary.mode_by_key(texts, ["k"], "v", "mode")
+    assert {r.k: r["mode"] for r in modes.collect()} == {"a": " X ", "c": "z"}
+    assert modes._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+
+
+def test_rows_of_a_forest_are_spread_over_the_cores(spark):
+    large = spark.range(models.ROWS_PER_TASK * 3).coalesce(1)
+    assert models.spread(large).rdd.getNumPartitions() == 3 and models.spread(large).distinct().count() == large.count()
+    assert models.spread(spark.range(50).coalesce(1)).rdd.getNumPartitions() == 1

@@ -21,6 +21,8 @@ ELASTIC_NET = {"regParam": 0.1, "elasticNetParam": 0.5, "maxIter": 200}
 FOREST = {"numTrees": 70, "maxDepth": 10, "minInstancesPerNode": 2, "seed": 19191}
 NET_PENALTY = (ELASTIC_NET["regParam"], ELASTIC_NET["elasticNetParam"])
 METRICS = ("rmse", "mae", "r2")
+# Rows that one task of a forest's passes takes before they are spread further, up to one task a core.
+ROWS_PER_TASK = 20_000
 
 
 def grouped_folds(df: DataFrame, group: str, k: int, method: str = "xxhash64") -> DataFrame:
@@ -35,6 +37,15 @@ def grouped_folds(df: DataFrame, group: str, k: int, method: str = "xxhash64") -
     return df.withColumn("fold", F.pmod(number, F.lit(k)).cast("int"))
 
 
+def spread(data: DataFrame) -> DataFrame:
+    """Rows for an iterative fit, in at least as many parts as keep all cores busy.
+
+    A stored table has as few parts as its size in bytes asks for, but a forest passes over every row of a part for all trees and levels.
+    """
+    wanted = min(data.sparkSession.sparkContext.defaultParallelism, -(-data.count() // ROWS_PER_TASK))
+    return data.repartition(wanted) if data._jdf.queryExecution().toRdd().getNumPartitions() < wanted else data
+
+
 def linear_model() -> LinearRegression:
     return LinearRegression(featuresCol="scaled", labelCol=LABEL, **ELASTIC_NET)
 
@@ -123,7 +134,7 @@ def cross_validate(
     All linear models share two passes over the rows (sums of products, errors). With medians learned inside the folds, or a design
     wider than the sums allow, they are fitted one by one like the forest; the driver only loops over models and folds then.
     """
-    data = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    data = spread(folded).persist(StorageLevel.MEMORY_AND_DISK)
     present = [row.fold for row in data.select("fold").distinct().orderBy("fold").collect() if 0 <= row.fold < k]
     measured: list[tuple] = []
 
@@ -191,7 +202,7 @@ def fitted_weights(model: PipelineModel, transformed: DataFrame, column: str) ->
 
 def feature_importance(analysis: DataFrame, features: Sequence[str], forest: Callable[[], Estimator] = forest_model) -> DataFrame:
     """Full-data fits of both full models: (feature_name, elastic_net_coefficient, random_forest_importance)."""
-    data = analysis.persist(StorageLevel.MEMORY_AND_DISK)
+    data = spread(analysis).persist(StorageLevel.MEMORY_AND_DISK)
     weights = []
     _, linear, trees = default_specs(features, forest)
     for spec, column in ((linear, "elastic_net_coefficient"), (trees, "random_forest_importance")):
