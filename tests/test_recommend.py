@@ -327,3 +327,17 @@ def test_pairs_of_bands_are_made_by_many_tasks(spark):
     sigs = recommend.distinct_requests(requests.validate_requests(named(spark, asked_rows(30, 4)))[0], recommend.CORE_FIELDS)
     plan = recommend.core_matches(items, sigs)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_summed_points_are_stored_before_they_are_dealt_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(recommend, "FEW", 0)
+    made = []
+
+    def stage(df):
+        made.append(set(df.columns))
+        return written(df)
+
+    valid = requests.validate_requests(named(spark, asked_rows(30, 5)))[0]
+    recommend.decisions(spark.createDataFrame(catalog_rows(80, 6), ITEM_SCHEMA), valid, stage=stage)
+    summed = made.index({"number", "line", "price", "weight"})
+    assert any({"side", "_part"} <= columns for columns in made[summed + 1:])

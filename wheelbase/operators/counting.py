@@ -166,9 +166,11 @@ def count_in_bands(items: DataFrame, requests: DataFrame, raised: Column, stage=
     terms = stage(_terms(wanted, sizes))
     keys = stage(terms.select("key").distinct().withColumn("number", F.monotonically_increasing_id()))
     lines = _lines_of_items(leveled, terms, keys, sizes)
-    begin = F.struct(F.lit(_BEGIN).alias("line"), F.col("low").alias("price"), F.lit(_BEGIN).alias("side"))
-    end = F.struct(F.lit(_END).alias("line"), F.col("high").alias("price"), F.lit(_END).alias("side"))
-    of_items = lines.select("number", "weight", F.inline(F.array(begin, end))).groupBy("number", "line", "price", "side").agg(F.sum("weight").alias("weight"))
+    begin = F.struct(F.lit(_BEGIN).alias("line"), F.col("low").alias("price"))
+    end = F.struct(F.lit(_END).alias("line"), F.col("high").alias("price"))
+    # Stored before the ranges are made, so the shuffle files of all points are gone when the summed ones are dealt out.
+    of_items = stage(lines.select("number", "weight", F.inline(F.array(begin, end))).groupBy("number", "line", "price").agg(F.sum("weight").alias("weight")))
+    of_items = of_items.withColumn("side", F.col("line"))
     upper = F.struct(F.lit(_BEGIN).alias("line"), F.col("high").alias("price"), F.lit(1).alias("sign"))
     lower = F.struct(F.lit(_END).alias("line"), F.col("low").alias("price"), F.lit(-1).alias("sign"))
     of_requests = terms.join(keys, "key").select("number", F.inline(F.array(upper, lower)), F.lit(_ASK).alias("side"), F.lit(0).cast("long").alias("weight"), "sig", "name")
