@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wheelbase.functions import statistics
 from wheelbase.operators import association, evidence, features, models, ordering, quality, summary
+from wheelbase.staging import written
 
 
 def test_erfc_matches_the_standard_library(spark):
@@ -242,3 +243,34 @@ def test_rows_of_a_forest_are_spread_over_the_cores(spark):
     large = spark.range(models.ROWS_PER_TASK * 3).coalesce(1)
     assert models.spread(large).rdd.getNumPartitions() == 3 and models.spread(large).distinct().count() == large.count()
     assert models.spread(spark.range(50).coalesce(1)).rdd.getNumPartitions() == 1
+
+
+def test_features_shuffle_only_their_own_rows_as_numbers(spark):
+    """What is no feature never reaches the shuffle, a parameter goes through it as a number, and a key with two definitions has rows for both."""
+    rows = [
+        ("s", "n", "1", 1.0, "value"), ("s", "n", "4", 4.0, "value"), ("s", "n", "9", 9.0, "value"), ("s", "n", "-", None, "missing"), ("t", "n", "●", None, "standard"),
+        ("s", "e", "●", None, "standard"), ("s", "e", "○", None, "optional"), ("s", "e", "7", 7.0, "value"), (None, "e", "--", None, "missing"), ("s", "other", "5", 5.0, "value"),
+    ]
+    attributes = spark.createDataFrame(rows, "series_id string, parameter_key string, value_text string, value_numeric double, equipment_state string")
+    mapping = spark.createDataFrame(
+        [("n", "numeric", "num_n"), ("e", "equipment", "equip_e"), ("e", "numeric", "num_e"), ("none", "numeric", "num_none")],
+        "parameter_key string, parameter_type string, feature_name string")
+    found = features.build_features(attributes, mapping)
+    assert {tuple(r) for r in found.collect()} == {("s", "n", "num_n", 4.0), ("s", "e", "equip_e", 0.75), (None, "e", "equip_e", 0.0), ("s", "e", "num_e", 7.0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    moved = [line for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert moved and all("parameter_key" not in line and "_no#" in line for line in moved)
+
+
+def test_group_medians_sort_in_stated_parts(spark):
+    """Spark would merge small parts until all rows are sorted at the same time."""
+    frame = spark.createDataFrame([(i % 7, float(i)) for i in range(50)], "k int, v double")
+    plan = summary.group_medians(frame, ["k"], "v", "m")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_pairs_to_correlate_are_stored_packed(spark):
+    """Pairs are Parquet, not a copy of the rows as they lie in memory."""
+    frame = spark.createDataFrame([("a", float(i % 5), float(i)) for i in range(40)], "g string, x double, y double")
+    assert association.spearman.__defaults__[-1] is written
+    assert association.spearman(frame, ["g"], "x", "y").first().n == 40

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wheelbase import vocab
 from wheelbase.functions.statistics import with_spearman_p
 from wheelbase.operators.ordering import average_ranks, with_minimum_from, with_sums_before
-from wheelbase.staging import checkpointed
+from wheelbase.staging import written
 
 
 def pearson(df: DataFrame, group: Sequence[str], x: str, y: str, weight: str | None = None) -> DataFrame:
@@ -41,7 +41,7 @@ def pearson(df: DataFrame, group: Sequence[str], x: str, y: str, weight: str | N
     return sums.select(*group, "n", F.when((n >= 3) & F.col("varied") & (spread > 0), cross / F.sqrt(spread)).alias("rho"))
 
 
-def spearman(df: DataFrame, group: Sequence[str], x: str, y: str, ranges: int | None = None, stage=checkpointed) -> DataFrame:
+def spearman(df: DataFrame, group: Sequence[str], x: str, y: str, ranges: int | None = None, stage=written) -> DataFrame:
     """Pearson correlation of average ranks per group.
 
     Equal (x, y) pairs are folded to one counted row first and stored, so ``df`` is evaluated once; ranks are taken from and joined to that smaller table.
@@ -93,7 +93,7 @@ def feature_pairs(features: DataFrame, target: DataFrame, controls: DataFrame |
 
 
 def univariate_associations(
-    features: DataFrame, target: DataFrame, controls: DataFrame | None = None, stage=checkpointed, ranges: int | None = None
+    features: DataFrame, target: DataFrame, controls: DataFrame | None = None, stage=written, ranges: int | None = None
 ) -> DataFrame:
     """(feature_name, n, spearman_rho, p_value, fdr_q_value) over features and numeric controls.
 

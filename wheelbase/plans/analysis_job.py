@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wheelbase import vocab
 from wheelbase.operators import association, evidence, features, models, quality, summary
-from wheelbase.staging import checkpointed
+from wheelbase.staging import checkpointed, written
 from wheelbase.sources import tables
 
 
@@ -56,8 +56,8 @@ def model_frames(described: dict[str, DataFrame], settings: Settings = Settings(
     build = lambda impute: features.build_analysis_dataset(
         described["features"], described["controls"], described["target"], names, impute
     )
-    analysis = checkpointed(build(True))
-    open_data = checkpointed(build(False)) if settings.impute_in_fold else analysis
+    analysis = written(build(True))
+    open_data = written(build(False)) if settings.impute_in_fold else analysis
     folded = models.grouped_folds(open_data, "brand", settings.folds, settings.fold_method)
     specs = models.default_specs(names, settings.forest)
     metrics = models.cross_validate(folded, specs, settings.folds, impute_in_fold=settings.impute_in_fold)
@@ -127,7 +127,7 @@ RESULT_COLUMNS = {
 def run(spark: SparkSession, source: str, output: str, settings: Settings = Settings()) -> dict[str, DataFrame]:
     """Whole job; the long attribute table is scanned for quality, features and controls only."""
     read = tables.read_tables(spark, source, ("parameters", "trims", "measures"))
-    described = describe(read["parameters"], read["trims"], read["measures"], settings, stage=checkpointed)
+    described = describe(read["parameters"], read["trims"], read["measures"], settings, stage=written)
     quality_rows = checkpointed(described["quality"])
     associations = checkpointed(described["associations"])
     described["quality"] = quality_rows

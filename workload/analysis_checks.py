@@ -8,7 +8,7 @@ from wheelbase import vocab
 from wheelbase.functions import statistics
 from wheelbase.operators import association, evidence, features, models, ordering, overview, quality
 from wheelbase.plans import analysis_job
-from wheelbase.staging import checkpointed
+from wheelbase.staging import checkpointed, written
 from workload import views
 from workload.ctes import erfc, with_ctes
 from workload.registry import check
@@ -220,7 +220,7 @@ def fdr_bh(spark, sf):
 
 def described(spark, sf):
     return analysis_job.describe(
-        views.attributes(spark, sf), views.trims(spark, sf), views.measures(spark, sf), stage=checkpointed
+        views.attributes(spark, sf), views.trims(spark, sf), views.measures(spark, sf), stage=written
     )
 
 
@@ -278,11 +278,11 @@ def shared(make):
 def model_data(spark, sf):
     """(wide analysis set, selected features); quantities summed over all months are the target, so every series has one."""
     totals = views.measures(spark, sf).groupBy("series_id").agg(F.sum("sales").alias("target_sales"))
-    target = checkpointed(totals.filter(F.col("target_sales").isNotNull()).withColumn("target_log_sales", F.log1p("target_sales")))
-    long = checkpointed(views.long_features(spark, sf))
+    target = written(totals.filter(F.col("target_sales").isNotNull()).withColumn("target_log_sales", F.log1p("target_sales")))
+    long = written(views.long_features(spark, sf))
     names = analysis_job.selected_names(features.select_top_features(features.feature_coverage(long, target)))
     data = features.build_analysis_dataset(long, views.controls(spark, sf), target, names)
-    return checkpointed(data), names
+    return written(data), names
 
 
 @shared
