@@ -1,5 +1,6 @@
 import math
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -269,6 +270,19 @@ def test_group_medians_sort_in_stated_parts(spark):
     assert "REPARTITION_BY_NUM" in plan
 
 
+def test_forests_of_several_folds_are_fitted_at_the_same_time(spark):
+    met = threading.Barrier(2, timeout=60)
+
+    def forest():
+        met.wait()
+        return models.forest_model(numTrees=3, maxDepth=2)
+
+    folded = models.grouped_folds(planted(spark, 60), "brand", 2, "md5")
+    specs = models.default_specs(["num_signal"], forest)[2:]
+    metrics = models.cross_validate(folded, specs, 2)
+    assert [r.fold for r in metrics.collect()] == [0] * 6 + [1] * 6
+
+
 def test_pairs_to_correlate_are_stored_packed(spark):
     """Pairs are Parquet, not a copy of the rows as they lie in memory."""
     frame = spark.createDataFrame([("a", float(i % 5), float(i)) for i in range(40)], "g string, x double, y double")

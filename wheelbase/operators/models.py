@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
@@ -23,6 +24,8 @@ NET_PENALTY = (ELASTIC_NET["regParam"], ELASTIC_NET["elasticNetParam"])
 METRICS = ("rmse", "mae", "r2")
 # Rows that one task of a forest's passes takes before they are spread further, up to one task a core.
 ROWS_PER_TASK = 20_000
+# Fits that run at the same time: while one waits for its last tasks or for the driver, the cores work on another.
+AT_ONCE = 3
 
 
 def grouped_folds(df: DataFrame, group: str, k: int, method: str = "xxhash64") -> DataFrame:
@@ -132,7 +135,7 @@ def cross_validate(
     """Long metrics ``(model, fold, metric, value)`` for training and test rows of every fold.
 
     All linear models share two passes over the rows (sums of products, errors). With medians learned inside the folds, or a design
-    wider than the sums allow, they are fitted one by one like the forest; the driver only loops over models and folds then.
+    wider than the sums allow, they are fitted like the forest; the driver only goes over models and folds then, AT_ONCE at a time.
     """
     data = spread(folded).persist(StorageLevel.MEMORY_AND_DISK)
     present = [row.fold for row in data.select("fold").distinct().orderBy("fold").collect() if 0 <= row.fold < k]
@@ -145,12 +148,18 @@ def cross_validate(
     rows = _linear_metrics(data, from_sums, present) if from_sums else []
     for row in rows or []:
         add(row.model, row.fold, row)
-    for spec in (s for s in specs if rows is None or s not in from_sums):
-        for fold in present:
-            fitted = stages_for(spec, impute_in_fold).fit(data.filter(F.col("fold") != fold))
-            part = F.when(F.col("fold") == fold, "test").otherwise("train").alias("part")
-            predicted = fitted.transform(data).select(part, LABEL, "prediction")
-            for row in regression_metrics(predicted, ["part"]).collect():
+
+    def one(task: tuple[ModelSpec, int]) -> list:
+        spec, fold = task
+        fitted = stages_for(spec, impute_in_fold).fit(data.filter(F.col("fold") != fold))
+        part = F.when(F.col("fold") == fold, "test").otherwise("train").alias("part")
+        predicted = fitted.transform(data).select(part, LABEL, "prediction")
+        return regression_metrics(predicted, ["part"]).collect()
+
+    tasks = [(spec, fold) for spec in specs if rows is None or spec not in from_sums for fold in present]
+    with ThreadPool(AT_ONCE) as pool:
+        for (spec, fold), found in zip(tasks, pool.imap(inheritable_thread_target(folded.sparkSession)(one), tasks)):
+            for row in found:
                 add(spec.name, fold, row)
     data.unpersist()
     return folded.sparkSession.createDataFrame(measured, "model string, fold int, metric string, value double")
