@@ -184,3 +184,13 @@ def test_op5_uses_contexts_of_two_words(spark, folder):
 def test_katz_keys_tell_all_histories_apart():
     one, two = (x.ravel() for x in np.meshgrid(np.arange(600), np.arange(600)))
     assert len(np.unique(katz.keys_of([one, two]))) == 360_000
+
+
+def test_packed_order_equals_the_order_of_columns():
+    random = np.random.default_rng(8)
+    for top in (3, 1 << 20, 1 << 40):  # the last does not fit one number and is ranked first
+        columns = [random.integers(0, top, 500) for _ in range(3)]
+        order = katz.in_order(columns)
+        assert sorted(order) == list(range(500))
+        assert np.array_equal(np.stack(columns)[:, order], np.stack(columns)[:, np.lexsort(columns[::-1])])
+    assert len(katz.in_order([np.zeros(0, np.int64)] * 2)) == 0
