@@ -165,3 +165,39 @@ def test_listing_pages_of_one_file_are_parsed_by_all_cores(spark, tmp_path):
     assert pages.count() == 40 and pages.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     found = ingest_checks.html_listing(spark, str(tmp_path)).groupBy("category").count().collect()
     assert {r.category: r["count"] for r in found} == {"MPV": 2 * 14, "SUV": 13, "跑车": 3 * 13}
+
+
+def test_only_texts_that_may_be_numbers_or_blank_are_looked_at_closely(spark):
+    import re
+
+    values = ["12", "-3.5%", "+7", "＋7", "", " ", " - ", "--", "- -", "---", "-●", ".5", "/1", ":", "9:", "●", "○ ●", "12×34", "Brand#12", "1 万", " 1", "é", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", text.single_number_text("v").alias("number"), text.equipment_state("v").alias("state"))
+    # The pattern is tried behind a condition only.
+    assert "CASE WHEN" in spark.range(1).select(text.single_number_text(F.lit("7")))._jdf.queryExecution().analyzed().toString()
+    for v, number, state in df.collect():
+        if v is None:
+            assert number is None and state == "value"
+            continue
+        match, compact = re.match(text.SINGLE_NUMBER, v, re.ASCII), v.replace(" ", "")
+        assert number == (match.group(1) if match else ""), v
+        marks = ("●" in v, "○" in v)
+        expected = "missing" if compact in ("", "-", "--") else {(True, True): "mixed", (True, False): "standard", (False, True): "optional"}.get(marks, "value")
+        assert state == expected, v
+
+
+def test_texts_are_made_of_the_asked_attributes_only(spark, tmp_path):
+    from datetime import datetime
+
+    from workload import views
+
+    lines = [(1, 7, 50, n, 4.0 + n, 900.0, 0.0, 0.01, "A", "F", datetime(1995, 3, n)) for n in (1, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(7, "p", "Brand#1", "LARGE", 3, 900.0)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    rows = views.attributes(spark, str(tmp_path))
+    assert rows.count() == 18 and rows.select("trim_id", "parameter_key").distinct().count() == 18
+    prices = rows.filter(F.col("parameter_name") == vocab.PARAM_PRICE)
+    assert [r.value_numeric for r in prices.select("value_numeric").collect()] == [0.18, 0.18]
+    # The filter stands right above the repeated line items, where no text has been made yet.
+    plan = prices.select("value_numeric")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" not in plan and "Generate explode" in plan
