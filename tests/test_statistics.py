@@ -288,3 +288,19 @@ def test_pairs_to_correlate_are_stored_packed(spark):
     frame = spark.createDataFrame([("a", float(i % 5), float(i)) for i in range(40)], "g string, x double, y double")
     assert association.spearman.__defaults__[-1] is written
     assert association.spearman(frame, ["g"], "x", "y").first().n == 40
+
+
+def test_forests_keep_node_numbers_and_predict_from_unpacked_vectors(spark):
+    """The node of a row is kept between levels; predictions are those of the fitted pipeline itself."""
+    data, names = planted(spark), ["num_signal", "num_noise"]
+    spec = models.default_specs(names, lambda: models.forest_model(numTrees=3, maxDepth=3))[2]
+    stages = models.stages_for(spec)
+    assert stages.getStages()[-1].getCacheNodeIds()
+    fitted = stages.fit(data)
+    assert {r.series_id: r.prediction for r in models.predicted(fitted, data).collect()} == {
+        r.series_id: r.prediction for r in fitted.transform(data).collect()
+    }
+    vectors = models.predicted(fitted, data).select("assembled").collect()
+    assert all(type(r.assembled).__name__ == "DenseVector" for r in vectors)
+    again = models.cross_validate(models.grouped_folds(data, "brand", 2, "md5"), [spec], 2)
+    assert again.count() == 12

@@ -9,6 +9,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,7 +97,19 @@ def stages_for(spec: ModelSpec, impute_in_fold: bool = False) -> Pipeline:
     ]
     if spec.scaled:
         steps.append(StandardScaler(inputCol="assembled", outputCol="scaled", withMean=False, withStd=True))
-    return Pipeline(stages=[*steps, spec.estimator()])
+    estimator = spec.estimator()
+    if estimator.hasParam("cacheNodeIds"):
+        # The node of a row is kept from level to level; else every pass walks all trees from their roots for every row. The fit is the same.
+        estimator.set(estimator.getParam("cacheNodeIds"), True)
+    return Pipeline(stages=[*steps, estimator])
+
+
+def predicted(fitted: PipelineModel, data: DataFrame) -> DataFrame:
+    """``fitted.transform`` with the assembled vectors unpacked first: a tree looks up one value a level, and a packed vector is searched for each."""
+    *before, last = fitted.stages
+    ready = PipelineModel(before).transform(data)
+    column = last.getFeaturesCol()
+    return last.transform(ready.withColumn(column, array_to_vector(vector_to_array(column))))
 
 
 def regression_metrics(predictions: DataFrame, keys: Sequence[str], label: str = LABEL, prediction: str = "prediction") -> DataFrame:
@@ -153,8 +166,7 @@ def cross_validate(
         spec, fold = task
         fitted = stages_for(spec, impute_in_fold).fit(data.filter(F.col("fold") != fold))
         part = F.when(F.col("fold") == fold, "test").otherwise("train").alias("part")
-        predicted = fitted.transform(data).select(part, LABEL, "prediction")
-        return regression_metrics(predicted, ["part"]).collect()
+        return regression_metrics(predicted(fitted, data).select(part, LABEL, "prediction"), ["part"]).collect()
 
     tasks = [(spec, fold) for spec in specs if rows is None or spec not in from_sums for fold in present]
     with ThreadPool(AT_ONCE) as pool:
