@@ -1,5 +1,7 @@
 import json
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from wheelbase import vocab
@@ -201,3 +203,31 @@ def test_texts_are_made_of_the_asked_attributes_only(spark, tmp_path):
     # The filter stands right above the repeated line items, where no text has been made yet.
     plan = prices.select("value_numeric")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate inline" not in plan and "Generate explode" in plan
+
+
+def test_plain_pages_are_read_without_the_parser_and_odd_ones_like_before(spark, monkeypatch):
+    """Pages of proper tags need no parser; whatever else a page holds, its rows are the parser's."""
+    plain = [
+        "<table border=\"0\"><tr class='a b'><TD width=3> 2024-01 </td><td><b>8</b>,709 &amp;<br/>x</td></tr><tr><td>2024-02<td>5</table><table><tr><td>2020-01</td></tr></table>",
+        "<td>lost</td><table><td>none<tr><td>2024-03<table><tr><td>inner</td></tr></table><td>a > b", "no table", "",
+    ]
+    odd = [
+        "<table><!-- <td>no</td> --><tr><td>2024-04</td><td>1 < 2</td></tr></table>", "<table><tr><td title='a>b'>2024-05</td><td>3</td></tr></table>",
+        "<script>if (a<b) '<td>'</script><table><tr><td>2024-06</td><td>4</td></tr></table>",
+    ]
+    expected = [
+        [["2024-01", "8 ,709 & x"], ["2024-02", "5"]], [["2024-03"], ["inner", "a > b"]], [], [],
+        [["2024-04", "1 < 2"]], [["2024-05", "3"]], [["2024-06", "4"]],
+    ]
+    pages = spark.createDataFrame(list(enumerate(plain + odd)), "i int, html string").coalesce(1)
+    found = {r.i: r.cells for r in pages.select("i", ingest._table_cells("html").alias("cells")).collect()}
+    assert {i: found[i] for i in range(4)} == dict(enumerate(expected[:4]))
+    assert {i: found[i] for i in range(4, 7)} == dict(enumerate(expected[4:], 4))
+    read = []
+    monkeypatch.setattr(ingest.F, "arrow_udf", lambda f, returnType: read.append(f) or (lambda column: column))
+    ingest._table_cells("html")
+    # Without the parser, plain pages are still read.
+    monkeypatch.setattr("html.parser.HTMLParser.feed", lambda self, data: 1 / 0)
+    assert read[0](pa.array(plain)).to_pylist() == expected[:4]
+    with pytest.raises(ZeroDivisionError):
+        read[0](pa.array(odd[:1]))
