@@ -1,6 +1,7 @@
 import csv
 import gzip
 import hashlib
+import random
 import json
 import os
 
@@ -235,3 +236,21 @@ def test_single_file_is_not_computed_by_its_writer(spark):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" in plan and "Coalesce" not in plan
     assert one.rdd.getNumPartitions() == 1 and sorted(tuple(r) for r in one.collect()) == sorted(tuple(r) for r in sums.collect())
+
+
+def test_streamed_files_have_the_digests_of_whole_ones(spark, tmp_path):
+    """Not held by a task, whatever their bytes, ends, names and sub-folders."""
+    noise = bytes(random.Random(3).randrange(256) for _ in range(50_000))
+    (tmp_path / "in ner").mkdir()
+    contents = {
+        "a.parquet": noise, "in ner/a%20+b [1].parquet": noise + b"\n", "c.csv": b"\xef\xbb\xbfk,v\r\n1,2", "d.csv": b"\xef\xbb\xbfk,v\n1,2\n", "e.csv.gz": noise[:9_999],
+        "f.json": b"\n\n", "g.csv": b"\n", "i.json": b"\xef\xbb\xbf", "in ner/j.csv": noise * 5, "k": noise,
+    }
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    expected = {name: hashlib.sha256(content).hexdigest() for name, content in contents.items()}
+    for held in (0, 5, 1 << 24):
+        found = tables.file_digests(spark, str(tmp_path), "*", held_file_bytes=held)
+        assert {r.name: r.digest for r in found.collect()} == expected
+        assert ("MapInArrow" in found._jdf.queryExecution().executedPlan().toString()) == (held < 10)
+    assert tables.HELD_FILE_BYTES < tables.WHOLE_FILE_BYTES
