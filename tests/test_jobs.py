@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMOKE
-from wheelbase import schemas, vocab
+from wheelbase import schemas, staging, vocab
 from wheelbase.operators import catalog, models, overview, summary
 from wheelbase.plans import analysis_job, catalog_job, overview_job, recommend_job
 from wheelbase.sources import tables
@@ -254,3 +254,39 @@ def test_streamed_files_have_the_digests_of_whole_ones(spark, tmp_path):
         assert {r.name: r.digest for r in found.collect()} == expected
         assert ("MapInArrow" in found._jdf.queryExecution().executedPlan().toString()) == (held < 10)
     assert tables.HELD_FILE_BYTES < tables.WHOLE_FILE_BYTES
+
+
+def test_assembly_works_on_slices_of_the_series(spark, table_folder, monkeypatch):
+    """In turns or at once the same rows; the rows of a series are dealt once, and what was dealt out is deleted."""
+    frames = [*tables.read_tables(spark, table_folder).values()]
+    # A trim that comes twice, one without a series and one of unknown class.
+    frames[1] = frames[1].union(frames[1].limit(1)).union(frames[1].limit(1).withColumn("series_id", F.lit(None).cast("string")))
+    at_once = sorted(map(str, catalog.assemble(*frames).collect()))
+    turns, plans = [], []
+
+    def in_turns(parts, key, work):
+        def watched(*some):
+            turns.append(1)
+            done = work(*some)
+            with staging._tidy(spark, **{staging.DEALT_ANEW: "false"}):
+                plans.append(done.select("*")._jdf.queryExecution().executedPlan().toString())
+            return done
+
+        return staging.in_slices(parts, key, watched, together=1)
+
+    monkeypatch.setattr(catalog, "in_slices", in_turns)
+    assert sorted(map(str, catalog.assemble(*frames).collect())) == at_once and at_once
+    assert len(turns) > 1
+    assert all("ENSURE_REQUIREMENTS" not in line for plan in plans for line in plan.splitlines() if "Exchange hashpartitioning" in line and "trim_id" in line)
+    left = [f for f in os.listdir(staging.ensure_checkpoint_dir(spark).removeprefix("file:")) if f.startswith("slices-")]
+    folders = [os.path.join(staging.ensure_checkpoint_dir(spark).removeprefix("file:"), f) for f in left]
+    assert folders and all([n for n in os.listdir(f) if not n.startswith(".")] == ["done"] for f in folders)
+
+
+def test_slices_keep_all_rows_and_null_keys(spark):
+    rows = spark.range(300).selectExpr("if(id % 10 = 0, null, cast(id % 37 as string)) AS k", "id AS v")
+    for together in (1, 100, 10_000):
+        found = staging.in_slices([rows], "k", lambda frame: frame.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("s")), together)
+        assert sorted(map(str, found.collect())) == sorted(map(str, rows.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("s")).collect()))
+    empty = staging.in_slices([rows.limit(0)], "k", lambda frame: frame.groupBy("k").agg(F.count("*").alias("n")))
+    assert empty.count() == 0 and empty.columns == ["k", "n"]
