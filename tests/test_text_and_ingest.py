@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wheelbase import vocab
+from wheelbase import staging, vocab
 from wheelbase.functions import rules, text
 from wheelbase.operators import ingest
 from wheelbase import schemas
@@ -231,3 +231,19 @@ def test_plain_pages_are_read_without_the_parser_and_odd_ones_like_before(spark,
     assert read[0](pa.array(plain)).to_pylist() == expected[:4]
     with pytest.raises(ZeroDivisionError):
         read[0](pa.array(odd[:1]))
+
+
+def test_definitions_clean_no_values_and_the_manifest_parses_once(spark, monkeypatch):
+    """The names are cleaned apart from the values, to the same rows; the four counts read stored payloads."""
+    body = json.dumps({"ret": "ok", "data": {"arrCar": [{"car_id": "a"}, {"car_id": ""}, {"car_id": "b"}], "arrConfig": {"0": {"g&amp;h": {"n&lt;o": ["1&nbsp;2", None, "<b>3</b>"], "p": []}}}}})
+    parsed = ingest.parse_payloads(spark.createDataFrame([("1", body), ("2", "{")], "series_id string, body string"))
+    rows = {entities: sorted(map(str, ingest.explode_parameters(parsed, "d", entities).collect())) for entities in ("all", "common")}
+    assert rows["all"] == rows["common"] and len(rows["all"]) == 4
+    plan = ingest.parameter_definitions(ingest.explode_parameters(parsed, "d", "common"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(cells" not in plan and "concat(array(raw_group" not in plan
+    stored = []
+    monkeypatch.setattr(ingest_checks, "payloads", lambda spark, sf: parsed)
+    monkeypatch.setattr(ingest_checks, "written", lambda frame: stored.append(1) or staging.written(frame))
+    counted = ingest_checks.manifest_counts(spark, "")
+    assert {r.table_name: r.n_rows for r in counted.collect()} == {"trims": 2, "trim_parameters": 4, "parameter_definitions": 2, "failures": 1}
+    assert stored and "from_json" not in counted._jdf.queryExecution().optimizedPlan().toString()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wheelbase.functions import text
 from wheelbase.operators import ingest
 from wheelbase.sources.tables import spread_rows
+from wheelbase.staging import written
 from workload import views
 from workload.ctes import NUMBER_PATTERN, STATE, with_ctes
 from workload.registry import check
@@ -184,7 +185,8 @@ UNION ALL SELECT 'trim_parameters', 6 * count(*) FILTER ({PAYLOAD_OK}) FROM line
 UNION ALL SELECT 'parameter_definitions', 3 FROM (SELECT 1)
 UNION ALL SELECT 'failures', count(*) FILTER (l_linenumber = 6 AND l_discount >= 0.095) FROM lineitem""")
 def manifest_counts(spark, sf):
-    parsed = payloads(spark, sf)
+    # Four tables are made of the parsed payloads.
+    parsed = written(payloads(spark, sf))
     parameters = ingest.explode_parameters(parsed, views.CAPTURED, "common")
     tables = {
         "trims": ingest.explode_trims(parsed, views.CAPTURED, entities="common"),
