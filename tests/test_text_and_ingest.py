@@ -247,3 +247,27 @@ def test_definitions_clean_no_values_and_the_manifest_parses_once(spark, monkeyp
     counted = ingest_checks.manifest_counts(spark, "")
     assert {r.table_name: r.n_rows for r in counted.collect()} == {"trims": 2, "trim_parameters": 4, "parameter_definitions": 2, "failures": 1}
     assert stored and "from_json" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_whole_attribute_table_makes_its_texts_once(spark, tmp_path, monkeypatch):
+    """All columns from one clean text, with the rows of the table that is read in parts."""
+    from datetime import datetime
+
+    from workload import source_checks, views
+
+    lines = [(1, 7, 50 * n, n, 4.0 + n, 900.0 * n, 0.05 * (n % 3), 0.01, "ANR"[n % 3], "FO"[n % 2], datetime(1995, 3, n)) for n in range(1, 8)] + [(2, 7, None, 3, None, None, None, None, None, None, None)] * 2
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(7, "p", "Brand#1", "LARGE", 3, 900.0)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    by_part, whole = (views.attributes(spark, str(tmp_path), whole=w) for w in (False, True))
+    assert whole.columns == by_part.columns
+    rows = sorted(map(str, whole.collect()))
+    assert rows == sorted(map(str, by_part.collect())) and len(rows) == 81
+    made_once = ["Generate inline" in frame._jdf.queryExecution().optimizedPlan().toString() for frame in (by_part, whole)]
+    assert made_once == [False, True]
+    # The query that writes the whole table takes it so.
+    asked = []
+    monkeypatch.setattr(views, "attributes", lambda spark, sf, whole=False: asked.append(whole) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        source_checks.source_switch(spark, str(tmp_path))
+    assert asked == [True]
